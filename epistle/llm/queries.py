@@ -32,7 +32,41 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), TOKENIZER)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_entities
+
+    return replace_entities(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import crc_mod
+    from .langid import fit, identify
+
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 3) == 1
+    named = identify(docs, fit(docs, ~held_out))
+    return named.select("doc_id", held_out.alias("held_out"), F.col("lang_pred"), "score", "rejected")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import fingerprints_of_edits
+
+    return fingerprints_of_edits(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
+    "op5_language_id": op5_language_id,
+    "op7_simhash": op7_simhash,
+    "op8_spotsigs": op8_spotsigs,
     "op4_packing": op4_packing,
     "op6_mixing": op6_mixing,
     "op9_token_counts": op9_token_counts,
