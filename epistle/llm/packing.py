@@ -66,13 +66,22 @@ class Schedule:
         return low
 
 
+def id_type(vocabulary: int) -> str:
+    """How ids are kept between stages: as few bytes as hold the vocabulary."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+#: Rows of queue bases up to which they are broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 200_000
+
+
 def encode_queues(docs: DataFrame, tokenizer: str, eos: int, source: str = "source") -> DataFrame:
     """doc_id, source, pid, local (ids of that source before it in its partition), n_tokens, ids
     (binary, little-endian, 2 or 4 bytes an id). Null text counts as empty: only the end id."""
-    dtype = "<u4"
 
     def run(batches):
         enc, pid, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        dtype = id_type(enc.vocabulary)
         for pdf in batches:
             texts, parts = pdf["text"].tolist(), []
             for piece in in_pieces(texts):
@@ -144,12 +153,16 @@ def pack(docs: DataFrame, tokenizer: str, *, eos: int = 1, window: int = 2048, s
     tune(spark)
     encoded = stage(encode_queues(docs, tokenizer, eos, source), "packing-ids")
     encoded = encoded.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    parts = encoded.groupBy("queue", "pid").agg(F.sum("n_tokens").alias("part"))
+    parts = stage(encoded.groupBy("queue", "pid").agg(F.sum("n_tokens").alias("part")), "packing-parts")
+    dtype = np.dtype(id_type(encoder(tokenizer).vocabulary))
+    width = dtype.itemsize
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("part").alias("n")).collect()}
     wanted = totals if weights is None else {"" if s is None else "=" + s: w for s, w in weights.items()}
     schedule, block = Schedule(totals, wanted), block_windows * window
     before = F.sum("part").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
     bases = parts.select("queue", "pid", F.coalesce(before, F.lit(0)).alias("base"))
+    if parts.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
 
     @F.pandas_udf("array<long>")
     def cuts(queue: pd.Series, begin: pd.Series, size: pd.Series) -> pd.Series:
@@ -173,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, *, eos: int = 1, window: int = 2048, s
         .withColumn("part", F.explode(F.expr("transform(sequence(1, size(cuts) - 2), i -> struct(cuts[0] + i - 1 AS block, cuts[i] AS lo, cuts[i + 1] - cuts[i] AS n))")))
         .where("part.n > 0")
         .select("doc_id", "source", "queue", "n_tokens", F.col("part.block").alias("block"), F.col("part.lo").alias("lo"), F.col("part.n").alias("n"),
-                (F.col("begin") + F.col("part.lo")).alias("at"), F.expr("substring(ids, CAST(4 * part.lo + 1 AS INT), CAST(4 * part.n AS INT))").alias("ids"))
+                (F.col("begin") + F.col("part.lo")).alias("at"), F.expr(f"substring(ids, CAST({width} * part.lo + 1 AS INT), CAST({width} * part.n AS INT))").alias("ids"))
     )
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, *, eos: int = 1, window: int = 2048, s
         return pd.DataFrame({
             "doc_id": pdf["doc_id"].to_numpy()[rows], "source": pdf["source"].to_numpy()[rows],
             "start": pdf["lo"].to_numpy()[rows] + [f[1] for f in found], "length": [f[2] for f in found],
-            "ids_crc32": [zlib.crc32(blobs[f[0]][4 * f[1] : 4 * (f[1] + f[2])]) for f in found],
+            "ids_crc32": [zlib.crc32(np.frombuffer(blobs[f[0]], dtype)[f[1] : f[1] + f[2]].astype("<u4").tobytes()) for f in found],
             "doc_tokens": pdf["n_tokens"].to_numpy()[rows], "sequence_id": [f[3] for f in found], "offset": [f[4] for f in found],
         })
 

@@ -4,6 +4,9 @@ The pre-tokenizer of such a vocabulary never joins characters across white space
 one leading space, so a text falls into units (optional space + non-space run, or white
 space) whose ids do not depend on each other. Each distinct unit is encoded once by the library and
 looked up afterwards, which yields the ids of the whole text at several times the speed.
+
+A unit's key is what follows its leading space, or "\\n" and what follows a line end, or
+"\\x01" and the unit as it is.
 """
 
 from __future__ import annotations
@@ -20,6 +23,24 @@ _UNIT = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
 CACHE_UNITS = 500_000
 
 
+_RARE = [c for c in _BLANK if c not in " \n"] + ["\x01", "  "]
+_ASCII_RARE = [c for c in _RARE if c.isascii()]
+
+
+def _keys(text: str) -> list[str]:
+    """The keys of a text's units. Where white space is single spaces and line ends only, splitting will do."""
+    if not any(c in text for c in (_ASCII_RARE if text.isascii() else _RARE)):
+        parts = text.replace("\n", " \n").split(" ")
+        if "" not in parts and "\n" not in parts:
+            parts[0] = "\x01" + parts[0]
+            return parts
+    return [u[1:] if len(u) > 1 and u[0] == " " and u[1] not in "\n\x01" else "\x01" + u for u in _UNIT.findall(text)]
+
+
+def _unit(key: str) -> str:
+    return key[1:] if key[0] == "\x01" else key if key[0] == "\n" else " " + key
+
+
 class _Slots(dict):
     """unit -> slot; a new unit gets the next slot and waits in `fresh` for its ids."""
 
@@ -40,6 +61,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
         self._reset()
 
     def _reset(self):
@@ -54,7 +76,7 @@ class TextEncoder:
         while len(self.start) < len(self.slots):
             self.start, self.length = (np.concatenate((a, np.empty_like(a))) for a in (self.start, self.length))
         for at in range(0, len(fresh), 20_000):
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 20_000], add_special_tokens=False)]
+            encoded = self._encode([_unit(k) for k in fresh[at : at + 20_000]])
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             ids = np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))
             while len(self.flat) < self.used + len(ids):
@@ -65,12 +87,27 @@ class TextEncoder:
             self.start[rows] = self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
 
+    def _encode(self, units: list[str]) -> list[list[int]]:
+        """Ids of units. One of ASCII letters after an optional space is a single pre-token, so
+        the merges can be applied to it at once; all others take the whole way."""
+        out: list = [None] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            word = u[1:] if u[0] == " " else u
+            if word.isascii() and word.isalpha():
+                out[i] = [t.id for t in self.model.tokenize("\u0120" + word if u[0] == " " else u)]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, int32; null and empty texts have none."""
         if len(self.slots) > CACHE_UNITS:
             self._reset()
         look = self.slots.__getitem__
-        found = [np.fromiter(map(look, _UNIT.findall(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        found = [np.fromiter(map(look, _keys(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
         if self.slots.fresh:
             self._learn()
         out = []
