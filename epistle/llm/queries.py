@@ -62,7 +62,31 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_of_edits(documents(spark, sf_dir))
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .ppm import score
+
+    return score(documents(spark, sf_dir), crc_mod("doc_id", 10) == 0)
+
+
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=35, keep_text=False)
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
+    "op1_ppm": op1_ppm,
+    "op2_substring": op2_substring,
+    "op10_ann": op10_ann,
     "op3_pii": op3_pii,
     "op5_language_id": op5_language_id,
     "op7_simhash": op7_simhash,
