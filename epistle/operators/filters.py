@@ -51,10 +51,15 @@ def where(*, category=None, project=None, date_from=None, date_to=None, from_add
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
 
 
+def names(fields: list[str] | None) -> list[str]:
+    """The fields to show: unknown and hidden names are dropped, nothing left means id."""
+    return [f for f in dict.fromkeys(DEFAULT_FIELDS if fields is None else fields) if f in FIELDS] or ["id"]
+
+
 def columns(fields: list[str] | None) -> list[Column]:
-    """Projection of the named fields; unknown and hidden names are dropped, nothing left means id."""
-    made = {f: F.col(f) for f in FIELDS} | {"body_text": body_text(), "body_main_text": main_text()}
-    return [made[f].alias(f) for f in (DEFAULT_FIELDS if fields is None else fields) if f in made] or [F.col("id")]
+    """Projection of the named fields."""
+    made = {"body_text": body_text(), "body_main_text": main_text()}
+    return [made.get(f, F.col(f)).alias(f) for f in names(fields)]
 
 
 def body_text() -> Column:
