@@ -26,7 +26,7 @@ class Archive:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def messages(self) -> DataFrame:
-        return with_defaults(self._read("messages"))
+        return with_defaults(self._read("messages").drop("year"))
 
     def vectors(self) -> DataFrame:
         return self._read("vectors", VECTORS)
@@ -34,17 +34,25 @@ class Archive:
     def append(self, messages: DataFrame) -> None:
         """Add messages; those whose message_id is stored are left out."""
         rows = maintenance.new_messages(validate_schema(messages, MESSAGES), self.messages() if self.exists("messages") else None)
-        rows.withColumn("year", F.coalesce(F.substring("ts_raw", 1, 4), F.lit("none"))).sortWithinPartitions("from_address").write.mode("append").partitionBy("year").parquet(f"{self.path}/messages")
+        self._laid_out(rows).write.mode("append").partitionBy("year").parquet(f"{self.path}/messages")
 
-    def _replace(self, name: str, df: DataFrame) -> None:
+    @staticmethod
+    def _laid_out(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("year", F.coalesce(F.substring("ts_raw", 1, 4), F.lit("none"))).sortWithinPartitions("from_address")
+
+    def _replace(self, name: str, df: DataFrame, partition: tuple[str, ...] = ()) -> None:
         """Write beside the old table, then swap, so that a failed write leaves the old one."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}.next")
+        df.write.mode("overwrite").partitionBy(*partition).parquet(f"{self.path}/{name}.next")
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         new, old = hadoop(f"{self.path}/{name}.next"), hadoop(f"{self.path}/{name}")
         fs = new.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(old, True)
         fs.rename(new, old)
 
+    def replace_messages(self, messages: DataFrame) -> None:
+        """Put messages in place of all that are stored, as a backfill does."""
+        self._replace("messages", self._laid_out(messages), ("year",))
+
     def rebuild_index(self, name: str = "all") -> dict:
         """Rebuild derived tables; returns the report on vectors. A vector of another length fails the rebuild
         and leaves the old index."""
@@ -70,7 +78,7 @@ class Archive:
         rows = self.messages()
         if mode == "all":
             rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        self._replace("messages", vector_ops.embed(rows, text, dims, encoder))
+        self.replace_messages(vector_ops.embed(rows, text, dims, encoder))
         return self.rebuild_index("vectors")
 
     def search_terms(self, terms: list[str]) -> DataFrame:

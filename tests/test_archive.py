@@ -200,3 +200,39 @@ def test_plans(spark, tables):
     assert "TakeOrderedAndProject" in plan(T.list_threads(corpus(spark, tables)))
     assert "text" not in plan(A.owner(corpus(spark, tables))).split("ReadSchema: ")[1].split("\n")[0]
     assert "CartesianProduct" not in plan(T.list_threads(corpus(spark, tables)))
+
+
+def test_command_line(spark, folder, tmp_path):
+    from epistle import cli
+
+    assert cli.main([str(tmp_path / "a"), "--load", folder])["load"] >= 1
+    report = cli.main([str(tmp_path / "a"), "--embed", "missing", "--rebuild", "--backfill", "from_name"])
+    assert report["embed"]["n_missing"] == 0 and report["rebuild"]["n_orphans"] == 0 and report["backfill"] == "from_name"
+
+
+def test_classifier(spark, messages):
+    from epistle.operators import classify as C
+
+    calls = []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise C.ModelError("busy")
+        return 'Here: [{"name": "Alpha", "aliases": ["al"], "summary": "s"}]'
+
+    waits = []
+    assert C.json_array(C.ask(flaky, "p", wait=waits.append))[0]["name"] == "Alpha" and waits == [1.0, 2.0]
+    registry = spark.createDataFrame([("Alpha", "old", None, None), ("Beta", "b", None, None)], "name string, aliases string, summary string, created_at string")
+    got = {r.name: r.aliases for r in C.discover_projects(messages, registry, flaky).collect()}
+    assert got == {"Alpha": '["al"]', "Beta": "b"} and C.discover_projects(messages, registry, flaky, reset=True).count() == 1
+    with pytest.raises(ValueError):
+        C.discover_projects(messages, registry, lambda p: "nothing")
+    untagged = messages.where("size(project_tags) = 0").count()
+    tagged, at, rows = 0, None, messages
+    while True:
+        rows, at = C.tag_batch(rows, lambda p: '[["new"], ["P"]]', at, 3)
+        if at is None:
+            break
+        tagged += 1
+    assert tagged == -(-untagged // 3) and rows.where("array_contains(category_tags, 'new')").count() == untagged
