@@ -17,8 +17,9 @@ from epistle.llm.pii import replace_entities
 from epistle.llm.queries import TOKENIZER, documents
 from epistle.llm.simhash import near_duplicates
 
-#: Near duplicates: five-word shingles, fingerprints alike in 0.8 of their bits or more.
-SHINGLE, RADIUS = 5, 12
+#: Near duplicates: three-word shingles, fingerprints alike in 57 of 64 bits (0.89) or more. Five words and 52 bits
+#: (0.81) take 259 probes a document instead of 64, which an executor of 3 GB does not hold; see the README.
+SHINGLE, RADIUS = 3, 7
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
