@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import stage, word_count
 
+#: Patterns up to which their sums are broadcast to the documents; beyond, they are joined by shuffling.
+BROADCAST_PATTERNS = 100_000
+
+
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
     """Targets in proportion to weights that add up to total; none exceeds `most` times its
     source's size, and what that cuts off is shared again by weight."""
@@ -129,7 +133,10 @@ def mix(docs: DataFrame, *, weights: dict | None = None, cycle: tuple = (5, 2, 1
     for key, p, w, n in sums:
         rounds, rest = divmod(sum(flow[p, s] for s in p), w) if w else (0, 0)
         rows.append((key, rounds, rest, source_size[p[0]], float(targets[p[0]]), math.isqrt(n) + 1))
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, _rounds long, _rest long, source_size long, target double, _buckets long"))
+    plan = spark.createDataFrame(rows, "_pattern string, _rounds long, _rest long, source_size long, target double, _buckets long")
+    # one row a pattern, here and in what is cut from it below
+    near = F.broadcast if len(rows) <= BROADCAST_PATTERNS else lambda df: df
+    plan = near(plan)
 
     # The seeded order is cut where a pattern's rest ends: first among about sqrt(n) buckets by
     # their sums, then among the about sqrt(n) documents of one bucket.
@@ -137,12 +144,12 @@ def mix(docs: DataFrame, *, weights: dict | None = None, cycle: tuple = (5, 2, 1
     dealt = slim.join(plan, "_pattern").where("_rest > 0").withColumn("_bucket", (place * F.col("_buckets")).cast("long"))
     sizes = dealt.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
     edge = _ends(sizes, "_bucket").select("_pattern", "_bucket", F.col("_before").alias("_skipped"))
-    close = dealt.join(F.broadcast(edge), ["_pattern", "_bucket"]).groupBy("_pattern", "_order").agg(
+    close = dealt.join(near(edge), ["_pattern", "_bucket"]).groupBy("_pattern", "_order").agg(
         F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_twins"), F.first(F.col("_rest") - F.col("_skipped")).alias("_rest"))
     cut = _ends(close, "_order").select("_pattern", F.col("_order").alias("_edge"), F.floor((F.col("_rest") - F.col("_before")) / F.col("_twins")).alias("_part"))
     extra = F.when(F.col("_order") < F.col("_edge"), F.col("size")).when(F.col("_order") == F.col("_edge"), F.col("_part")).otherwise(0)
     drop = [c for c in ("source_size", "target") if c in docs.columns]
-    taken = sized.drop(*drop).join(plan, "_pattern").join(F.broadcast(cut), "_pattern", "left").withColumn("taken", F.col("_rounds") * F.col("size") + extra)
+    taken = sized.drop(*drop).join(plan, "_pattern").join(near(cut), "_pattern", "left").withColumn("taken", F.col("_rounds") * F.col("size") + extra)
     copies = F.col("_rounds") + F.when(F.col("size") > 0, F.round(extra / F.col("size"))).otherwise(0)
     return taken.withColumn("copies", copies.cast("int")).drop("_pattern", "_order", "_rounds", "_rest", "_buckets", "_edge", "_part")
 
