@@ -111,30 +111,30 @@ def build(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Auto
         base[k] = base[k - 1] + len(contexts[k - 1])
     total = base[order] + len(contexts[order])
     score = np.zeros((total, wide), np.float32)
-    fallen = {}  # by length: probability of each symbol once the context has been escaped from
-    seen_before = counts_before = None
+    # of the contexts one byte shorter: counts, and each symbol's probability once they are escaped from
+    counts_before = after_before = None
     for k in range(order + 1):
         codes, counts = entries.get(k, (np.empty(0, _U), np.empty(0, np.int64)))
         n = len(contexts[k])
-        c = np.zeros((n, wide))
-        c[np.searchsorted(contexts[k], codes >> _U(8)), column[(codes & _U(0xFF)).astype(np.int64)]] = counts
-        seen = c > 0
-        whole, kinds = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        if k == 0:
-            after = np.full((1, wide), 1.0 / max(1, SYMBOLS - int(kinds[0, 0])))
-        else:
-            up = np.searchsorted(contexts[k - 1], contexts[k] & _U((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(n, np.int64)
-            left = np.where(seen, 0.0, counts_before[up])
-            left_sum, left_kinds = left.sum(axis=1, keepdims=True), (seen_before[up] & ~seen).sum(axis=1, keepdims=True)
-            below = np.maximum(left_sum + left_kinds, 1e-300)
-            after = np.where(seen_before[up], left / below, np.where(left_kinds > 0, left_kinds / below, 1.0) * fallen[k - 1][up])
-        fallen[k] = after
-        below = np.maximum(whole + kinds, 1e-300)
-        p = np.where(seen, c / below, np.where(kinds > 0, kinds / below, 1.0) * after)
-        with np.errstate(divide="ignore"):
-            score[base[k] : base[k] + n] = np.log10(np.maximum(p, 1e-30))
-        seen_before, counts_before = seen, c
-        fallen.pop(k - 1, None)
+        table, fallen = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
+        table[np.searchsorted(contexts[k], codes >> _U(8)), column[(codes & _U(0xFF)).astype(np.int64)]] = counts
+        for a in range(0, n, 4096):  # by blocks of rows, so that temporaries stay small
+            c = table[a : a + 4096].astype(float)
+            seen = c > 0
+            whole, kinds = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
+            if k == 0:
+                after = np.full((1, wide), 1.0 / max(1, SYMBOLS - int(kinds[0, 0])))
+            else:
+                up = np.searchsorted(contexts[k - 1], contexts[k][a : a + 4096] & _U((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(c), np.int64)
+                above = counts_before[up].astype(float)
+                left, left_kinds = np.where(seen, 0.0, above), ((above > 0) & ~seen).sum(axis=1, keepdims=True)
+                below = np.maximum(left.sum(axis=1, keepdims=True) + left_kinds, 1e-300)
+                after = np.where(above > 0, left / below, np.where(left_kinds > 0, left_kinds / below, 1.0) * after_before[up])
+            fallen[a : a + 4096] = after
+            below = np.maximum(whole + kinds, 1e-300)
+            p = np.where(seen, c / below, np.where(kinds > 0, kinds / below, 1.0) * after)
+            score[base[k] + a : base[k] + a + len(c)] = np.log10(np.maximum(p, 1e-30))
+        counts_before, after_before = table, fallen
     score[:, column[PAD]] = 0.0
     following = np.zeros((total, wide), np.int32)
     for k in range(order + 1):
@@ -266,7 +266,7 @@ def train(counted: DataFrame, order: int, states: int) -> Automaton:
     return build(order, entries)
 
 
-def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 150_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     Learns from documents where `held_out` is false. score: log10 probability of the whole text
