@@ -26,7 +26,7 @@ from .common import stage
 #: Projected dimensions (even) and the probability of the stopping test.
 M, CONFIDENCE = 8, 0.97
 #: Vectors in a cell on average (more beyond MOST_CELLS cells), in a leaf, and to fit the upper tree on.
-CELL, MOST_CELLS, LEAF, SAMPLE = 1024, 16_384, 64, 50_000
+CELL, MOST_CELLS, LEAF, SAMPLE = 8192, 16_384, 256, 50_000
 
 
 def chi_square_limit(p: float, m: int = M) -> float:
@@ -93,14 +93,10 @@ class Space:
     def of_queries(self, q: np.ndarray) -> np.ndarray:
         return q @ self.planes[:-1]
 
-    def distances(self, q: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        """Squared distances of the augmented vectors, from inner products."""
-        return np.maximum(float(q @ q) + self.longest**2 - 2 * inner, 0.0)
-
 
 def _search(space: Space, x: np.ndarray, flat: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, limit: float):
     """For each query the k best rows of x, by leaves in order of projected distance, until the test holds.
-    bounds: a squared distance known to hold k candidates already (inf: none)."""
+    bounds: a squared distance within which k candidates are known already (inf: none); rows beyond it are left out."""
     groups = leaves(flat)
     low, high = np.stack([flat[g].min(axis=0) for g in groups]), np.stack([flat[g].max(axis=0) for g in groups])
     parts = [np.ascontiguousarray(x[g]) for g in groups]
@@ -108,18 +104,25 @@ def _search(space: Space, x: np.ndarray, flat: np.ndarray, queries: np.ndarray,
     for q, y, bound in zip(queries, at, bounds):
         gap = np.maximum(np.maximum(low - y, y - high), 0.0)
         far = np.einsum("ij,ij->i", gap, gap)
+        whole = float(q @ q) + space.longest**2
+        # inner products below `least` can't be among the k best; a little slack for rounding
+        least = (whole - bound) / 2 - 1e-9 * whole
         rows, inner, kth = np.empty(0, np.int64), np.empty(0), bound
         for g in np.argsort(far, kind="stable"):
             if far[g] > limit * kth:
                 break
-            rows, inner = np.append(rows, groups[g]), np.append(inner, parts[g] @ q)
+            found = parts[g] @ q
+            better = np.flatnonzero(found >= least)
+            if not len(better):
+                continue
+            rows, inner = np.append(rows, groups[g][better]), np.append(inner, found[better])
             if len(rows) > k:
-                best = np.argpartition(-inner, k - 1)[:k]
-                # equal ones at the edge all stay: the smaller identifier decides later
-                best = np.flatnonzero(inner >= inner[best].min())
+                edge = np.partition(inner, -k)[-k]
+                best = np.flatnonzero(inner >= edge)  # equal ones at the edge all stay: the smaller identifier decides later
                 rows, inner = rows[best], inner[best]
             if len(rows) >= k:
-                kth = min(bound, float(space.distances(q, inner).max()))
+                least = max(least, float(inner.min()))
+                kth = min(kth, max(0.0, whole - 2 * least))
         yield rows
 
 
