@@ -19,6 +19,11 @@ import numpy as np
 #: Fixed value: the code points with the Unicode property White_Space, which the pre-tokenizer's \s means.
 _BLANK = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _UNIT = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
+#: A word of letters and signs behind it.
+_SIMPLE = re.compile(r"( ?[^\W\d_]+)([^\w\s]*)")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte -> character of a byte-level vocabulary: printed bytes as they are, the others from U+0100 on.
+_FORMS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 #: Units a worker remembers before it starts afresh; bounds memory, not results.
 CACHE_UNITS = 500_000
 
@@ -88,14 +93,16 @@ class TextEncoder:
             self.used += len(ids)
 
     def _encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of units. One of ASCII letters after an optional space is a single pre-token, so
-        the merges can be applied to it at once; all others take the whole way."""
+        """Ids of units. Letters after an optional space, and signs behind them, are one
+        pre-token each, so the merges can be applied to them at once; all others take the whole way."""
         out: list = [None] * len(units)
-        rest = []
+        rest, merge, forms = [], self.model.tokenize, _FORMS
         for i, u in enumerate(units):
-            word = u[1:] if u[0] == " " else u
-            if word.isascii() and word.isalpha():
-                out[i] = [t.id for t in self.model.tokenize("\u0120" + word if u[0] == " " else u)]
+            m = _SIMPLE.fullmatch(u)
+            if m and m[1].strip().isalpha():
+                out[i] = [t.id for t in merge("".join(map(forms.__getitem__, m[1].encode())))]
+                if m[2]:
+                    out[i] += [t.id for t in merge("".join(map(forms.__getitem__, m[2].encode())))]
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
