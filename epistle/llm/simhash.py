@@ -12,6 +12,7 @@ bits, by the same principle, until none is.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,8 @@ from .words import WordBatch, xxh64
 
 #: Fingerprints in a bucket of one task, at most; larger buckets are split, never cut.
 BUCKET = 4096
+#: Rows a task meets in one pass over some of the masks.
+PASS_ROWS = 80_000
 
 
 def fingerprints(texts: list, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -191,55 +194,99 @@ def _bucket_links(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, radius: i
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (column fp) as all links of at most
-    `radius` differing bits do. Within a bucket only a spanning forest is emitted."""
+    `radius` differing bits do. Within a bucket only a spanning forest is emitted. Masks are probed in
+    passes of about `PASS_ROWS` rows a task, each written to the shared folder, so that memory does not grow with their number."""
     spark = fps.sparkSession
     n, both = bit_counts(fps)
     masks, parts = allocate(n, both, radius), radius + 1
     width = max(shuffle_width(spark), 1)
-    keyed = fps.withColumn("mask", F.explode(F.array([F.lit(_signed(m)) for m in masks]))).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    limit, small = max(256, min(BUCKET, n * len(masks) // width)), []
-    while True:
-        hot = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("mask", "value")
-        hot = stage(hot, "simhash-hot")
-        found = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks, a few hundred at most
-        if not found:
-            small.append(keyed)
-            break
-        small.append(keyed.join(hot, ["mask", "value"], "left_anti"))
-        deeper = F.create_map([F.lit(x) for m in found for x in (m, _array(split_mask(m & (1 << 64) - 1, parts)))])
-        keyed = (
-            keyed.join(hot, ["mask", "value"], "left_semi")
-            .select("fp", F.explode(deeper[F.col("mask")]).alias("mask"))
-            .withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        )
-    rows = small[0]
-    for more in small[1:]:
-        rows = rows.unionByName(more)
+    limit = max(256, min(BUCKET, n * len(masks) // width))
+    rows, count, dealt, edges = fps, n, {None: [_signed(m) for m in masks]}, []  # dealt: masks by the mask that rows have in common
+    while dealt:
+        crowds, found = [], {}
+        each = max(1, width * PASS_ROWS // max(count, 1))
+        for k in range(0, max(map(len, dealt.values())), each):
+            now = {m: _array(to[k : k + each]) for m, to in dealt.items() if to[k : k + each]}
+            if None in now:
+                probes = now[None]
+            else:
+                probes = F.create_map([F.lit(x) for pair in now.items() for x in pair])[F.col("mask")]
+            keyed = rows.select("fp", F.explode(probes).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+            done = stage(_within_buckets(keyed, width, limit, radius), "simhash-links")
+            edges.append(done.where("mask IS NULL").select("a", "b"))
+            crowded = done.where("mask IS NOT NULL").select(F.col("a").alias("fp"), "mask")
+            counts = crowded.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()  # masks, a few hundred at most
+            for r in counts:
+                found[r["mask"]] = found.get(r["mask"], 0) + r["n"]
+            if counts:
+                crowds.append(crowded)
+        dealt = {m: [_signed(x) for x in split_mask(m & (1 << 64) - 1, parts)] for m in found}
+        count = sum(found.values())
+        rows = reduce(DataFrame.unionByName, crowds) if crowds else None
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _within_buckets(keyed: DataFrame, width: int, limit: int, radius: int) -> DataFrame:
+    """Of rows fp, mask, value: the links a, b of the buckets of at most `limit` rows (mask null), and the rows of larger
+    buckets as they came (a: fp, mask). A large bucket passes through in pieces and is never held."""
 
     def run(batches):
-        held, waiting = None, []
-        def ready(pdf):
-            a, b = _bucket_links(*(pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("mask", "value", "fp")), radius)
-            return pd.DataFrame({"a": np.minimum(a.view(np.int64), b.view(np.int64)), "b": np.maximum(a.view(np.int64), b.view(np.int64))})
-
+        none = np.empty(0, np.int64)
+        held, crowded = (none, none, none), None  # rows not given yet, whole buckets but the last; the large bucket that is passing
+
+        def give(mask, value, fp):
+            """Rows of whole buckets."""
+            new = np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))
+            sizes = np.diff(np.append(np.flatnonzero(new), len(fp)))
+            big = np.repeat(sizes > limit, sizes)
+            yield from hand_on(mask[big], fp[big])
+            if not big.all():
+                a, b = (x.view(np.int64) for x in _bucket_links(*(x[~big].view(np.uint64) for x in (mask, value, fp)), radius))
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "mask": pd.array([None] * len(a), "Int64")})
+
+        def hand_on(mask, fp):
+            if len(fp):
+                yield pd.DataFrame({"a": fp, "b": fp, "mask": pd.array(mask, "Int64")})
+
+        waiting, count = [], 0
         for pdf in batches:
-            waiting.append(pdf)
-            if sum(map(len, waiting)) >= 50_000:
-                held = pd.concat(waiting, ignore_index=True)
-                last = held.iloc[-1]
-                cut = int(((held["mask"] == last["mask"]) & (held["value"] == last["value"])).to_numpy().argmax())
-                waiting = [held.iloc[cut:]]
+            waiting.append(tuple(pdf[c].to_numpy(np.int64) for c in ("mask", "value", "fp")))
+            count += len(pdf)
+            if count < max(50_000, 2 * limit):
+                continue
+            held = tuple(np.concatenate(x) for x in zip(held, *waiting))
+            waiting, count = [], 0
+            mask, value, fp = held
+            if crowded is not None:
+                same = (mask == crowded[0]) & (value == crowded[1])
+                yield from hand_on(mask[same], fp[same])
+                mask, value, fp = mask[~same], value[~same], fp[~same]
+                crowded = crowded if same.all() else None
+            if len(fp):
+                cut = int(((mask == mask[-1]) & (value == value[-1])).argmax())
                 if cut:
-                    yield ready(held.iloc[:cut])
-        if waiting:
-            yield ready(pd.concat(waiting, ignore_index=True))
-
-    dealt = rows.repartition(width, "mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.mapInPandas(run, "a long, b long")
+                    yield from give(mask[:cut], value[:cut], fp[:cut])
+                mask, value, fp = mask[cut:], value[cut:], fp[cut:]
+                if len(fp) > limit:
+                    crowded = mask[0], value[0]
+                    yield from hand_on(mask, fp)
+                    mask = value = fp = none
+            held = mask, value, fp
+        mask, value, fp = (np.concatenate(x) for x in zip(held, *waiting))
+        if crowded is not None:
+            same = (mask == crowded[0]) & (value == crowded[1])
+            yield from hand_on(mask[same], fp[same])
+            mask, value, fp = mask[~same], value[~same], fp[~same]
+        if len(fp):
+            yield from give(mask, value, fp)
+
+    dealt = keyed.repartition(width, "mask", "value").sortWithinPartitions("mask", "value")
+    return dealt.mapInPandas(run, "a long, b long, mask long")
 
 
 def _array(masks: list[int]):
-    return F.array([F.lit(_signed(m)) for m in masks])
+    return F.array([F.lit(m) for m in masks])
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

@@ -111,6 +111,29 @@ def test_links_in_crowded_buckets(spark, monkeypatch):
     assert len(found) < 40 * len(fps)
 
 
+def test_masks_in_passes_lose_no_link(spark, monkeypatch):
+    """A pass of one mask at a time, with crowded buckets, joins what all masks at once join; the pipeline asks for 0.8 of five-word shingles."""
+    import corpus_pipeline as C
+
+    assert (C.SHINGLE, C.RADIUS) == (5, 12)
+    monkeypatch.setattr(simhash, "PASS_ROWS", 1)
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64).repeat(10) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(400)], np.uint64))
+    monkeypatch.setattr(simhash, "allocate", lambda n, both, radius: [0xFFFF << 16 * k for k in range(3)] + [0])  # the last: one bucket of all
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 3).collect()
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+
+    def groups(pairs):
+        label = {int(x): int(x) for x in fps.view(np.int64)}
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return label
+
+    signed = fps.view(np.int64)
+    assert groups([(r.a, r.b) for r in found]) == groups([(int(signed[i]), int(signed[j])) for i, j in zip(*np.nonzero(near)) if i < j])
+
+
 def test_every_near_pair_shares_a_mask():
     rng = np.random.default_rng(4)
     bits = (rng.random((500, 64)) < rng.uniform(0.1, 0.9, 64)).astype(float)
