@@ -29,12 +29,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays, once. Rows without a
-    doc_id can't be named by another's group: of them one of each text stays."""
-    found = near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumn("_kept", F.lit(True))
-    rows = docs.join(kept, "doc_id", "left").where("_kept OR doc_id IS NULL")
-    twin = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
+    """Of each group of near duplicates one row stays, that of the smallest (doc_id, hash of the text). A row's group
+    is that of its text, so rows of one doc_id or of none are told apart; a row without one stays only if no row of its group has any."""
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    groups = near_duplicates(rows.select(F.col("_hash").alias("doc_id"), "text"), shingle=SHINGLE, radius=RADIUS)
+    groups = groups.select(F.col("doc_id").alias("_hash"), "component").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_hash")).alias("first")
+    kept = rows.select("doc_id", "_hash").join(groups, "_hash").groupBy("component").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*docs.columns)))
     return rows.withColumn("_twin", twin).where("_twin = 1").select(*docs.columns)
 
 

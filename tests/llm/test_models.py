@@ -291,6 +291,20 @@ def test_pipeline_stages(spark):
     assert (whole == packed.groupby("doc_id").doc_tokens.first() * mixed.groupby("doc_id").size()).all()
 
 
+def test_near_dedup_of_repeated_and_missing_doc_ids(spark):
+    """One doc_id with two texts keeps both; near copies without a doc_id go."""
+    import corpus_pipeline as C
+
+    rng = random.Random(5)
+    long = [" ".join(f"w{rng.randrange(1000)}" for _ in range(300)) for _ in range(4)]
+    near = [t + " tail" for t in long]
+    rows = [(1, long[0]), (1, long[1]), (None, near[0]), (2, near[1]), (None, long[2]), (None, near[2]), (3, long[3]), (3, long[3]), (None, near[3])]
+    got = C.drop_near_duplicates(spark, docs_of(spark, rows), "").collect()
+    groups = collections.Counter(next(i for i, t in enumerate(long) if r.text.startswith(t)) for r in got)
+    assert groups == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert sorted((r.doc_id for r in got), key=str) == [1, 1, 3, None]
+
+
 def test_mixing_sql(spark):
     import duckdb
 
