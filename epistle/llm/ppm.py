@@ -7,9 +7,10 @@ escapes (distinct / (total + distinct)) and exclusion of the symbols that the lo
 seen. Escapes from the empty context share what is left evenly among unseen bytes. Scoring a text is then a few array
 lookups a byte.
 
-The trie keeps the most frequent contexts, `states` of them at most; that is the model's size
-and the bound on what is broadcast. A context is kept with all its symbols, and with it all its suffixes and
-prefixes. Counts themselves cover every training byte.
+The broadcast trie keeps the most frequent contexts, `states` of them at most. A context is kept with all its symbols,
+and with it all its suffixes and prefixes, so what it says behind a kept context of full length is exact. All other
+bytes are asked of the staged counts: grams are sent to the part that holds their contexts, which answers with
+their exact probability. `states` bounds memory and decides nothing else; the model grows with the corpus.
 
 Beside it stands a unigram model of words, whose vocabulary grows with the corpus: it is never gathered, words
 and their counts meet by hash.
@@ -78,11 +79,13 @@ class Automaton:
     column: np.ndarray  # byte -> column; bytes unseen in training share one
     following: np.ndarray  # states x columns: next state
     score: np.ndarray  # states x columns: log10 probability
+    deepest: int = 0  # the first state of full length
 
-    def scores(self, texts: list) -> np.ndarray:
-        """log10 probability of each text with its end."""
+    def scores(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text with its end, but for the bytes behind contexts that were not
+        kept in full length: the grams of these, and the text of each."""
         if not texts:
-            return np.empty(0)
+            return np.empty(0), np.empty(0, _U), np.empty(0, np.int64)
         data, starts = stream(texts, self.order)
         column, wide = self.column[data].astype(np.int32), self.following.shape[1]
         state, table = np.zeros(len(data), np.int32), self.following.ravel()
@@ -93,7 +96,13 @@ class Automaton:
         logs[1:] = self.score.ravel()[state[:-1] * wide + column[1:]]
         if self.order == 0:
             logs[0] = self.score[0, column[0]]
-        return np.add.reduceat(logs, starts)
+        cold = np.append(False, (state[:-1] < self.deepest) & (data[1:] != PAD))
+        logs[cold] = 0.0
+        at = np.flatnonzero(cold)
+        codes = np.zeros(len(at), _U)
+        for j in range(self.order, -1, -1):
+            codes = (codes << _U(8)) | data[at - j]
+        return np.add.reduceat(logs, starts), codes, np.searchsorted(starts, at, side="right") - 1
 
 
 def build(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Automaton:
@@ -149,7 +158,53 @@ def build(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Auto
                 hit[hit] = contexts[j + 1][at[hit]] == want[hit]
                 target[hit] = base[j + 1] + at[hit]
             following[rows, i] = target
-    return Automaton(order, column, following, score)
+    return Automaton(order, column, following, score, base[order])
+
+
+class Counts:
+    """Exact log10 probabilities of grams from the counts of all contexts: sorted codes and counts by length of context."""
+
+    def __init__(self, order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.order, self.levels = order, []
+        for k in range(order + 1):
+            codes, counts = entries.get(k, (np.empty(0, _U), np.empty(0, np.int64)))
+            first, totals = _contexts(codes, counts)
+            above = np.zeros(len(first), np.int64)  # what the shorter context counts of the symbols seen here
+            if k and len(first):
+                above = np.add.reduceat(self._count(k - 1, codes), first)
+            self.levels.append((codes, counts, codes[first] >> _U(8), totals, np.diff(np.append(first, len(codes))), above))
+
+    def _count(self, k: int, grams: np.ndarray) -> np.ndarray:
+        codes, counts = self.levels[k][:2]
+        at, hit = _find(codes, grams & _U((1 << 8 * (k + 1)) - 1))
+        return np.where(hit, counts[at], 0) if len(codes) else np.zeros(len(grams), np.int64)
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        n = len(grams)
+        p, after, lower, lower_whole, lower_kinds = np.full(n, 1.0 / SYMBOLS), np.full(n, 1.0 / SYMBOLS), None, None, None
+        for k, (codes, _, contexts, totals, kinds_of, above_of) in enumerate(self.levels):
+            at, hit = _find(contexts, (grams >> _U(8)) & _U((1 << 8 * k) - 1))
+            if not len(contexts):
+                break
+            whole, kinds, above = (np.where(hit, x[at], 0) for x in (totals, kinds_of, above_of))
+            count = self._count(k, grams)
+            if k == 0:
+                then = np.full(n, 1.0 / max(1, SYMBOLS - int(kinds_of[0])))
+            else:
+                left_kinds = lower_kinds - kinds
+                below = np.maximum(lower_whole - above + left_kinds, 1)
+                then = np.where(lower > 0, lower / below, np.where(left_kinds > 0, left_kinds / below, 1.0) * after)
+            p = np.where(hit, np.where(count > 0, count, kinds * then) / np.maximum(whole + kinds, 1), p)
+            after, lower, lower_whole, lower_kinds = then, count, whole, kinds
+        return np.log10(p)
+
+
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted values in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
 
 
 def _flush(kind, codes, counts, part, parts):
@@ -226,8 +281,8 @@ def _bin(totals: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(totals, 1)) * 16).astype(np.int64)
 
 
-def train(counted: DataFrame, order: int, states: int) -> Automaton:
-    """The automaton of the most frequent contexts, `states` at most beside those of length 0 and 1."""
+def train(counted: DataFrame, order: int, states: int) -> tuple[Automaton, dict]:
+    """The automaton of the most frequent contexts, `states` at most beside those of length 0 and 1, and the counts of these two lengths."""
 
     def histogram(batches):
         for pdf in batches:
@@ -263,7 +318,7 @@ def train(counted: DataFrame, order: int, states: int) -> Automaton:
     entries = {k: tally(*(np.concatenate(x) for x in zip(*parts))) for k, parts in found.items()}
     if 1 in entries:
         entries[0] = tally(entries[1][0] & _U(0xFF), entries[1][1])
-    return build(order, entries)
+    return build(order, entries), {k: entries[k] for k in (0, 1) if k in entries}
 
 
 def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 100_000) -> DataFrame:
@@ -303,33 +358,39 @@ def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 10
 
     hot = words.mapInPandas(hottest, "code long, n long").toPandas()  # at most 1 / HOT rows
     hot = hot.assign(code=hot["code"].to_numpy(np.int64).view(_U)).sort_values("code")
-    shared = spark.sparkContext.broadcast((train(counted, order, states), hot["code"].to_numpy(_U), hot["n"].to_numpy(np.int64)))
+    model, short = train(counted, order, states)
+    shared = spark.sparkContext.broadcast((model, hot["code"].to_numpy(_U), hot["n"].to_numpy(np.int64), short))
 
     def local(name, texts, ids, held):
-        model, hot_codes, hot_counts = shared.value
+        model, hot_codes, hot_counts, _ = shared.value
         batch = WordBatch(texts, lower=True)
         codes, owner = batch.hashes(), batch.owners()
         n = len(texts)
-        scores = np.concatenate([model.scores(texts[a : a + 64]) for a in range(0, n, 64)])
+        found = [(a, *model.scores(texts[a : a + 64])) for a in range(0, n, 64)]
+        scores = np.concatenate([f[1] for f in found])
         codes, owner = np.append(codes, np.full(n, _END_WORD)), np.append(owner, np.arange(n))
         at = np.minimum(np.searchsorted(hot_codes, codes), max(len(hot_codes) - 1, 0)) if len(hot_codes) else np.zeros(len(codes), np.int64)
         is_hot = hot_codes[at] == codes if len(hot_codes) else np.zeros(len(codes), bool)
         base = np.bincount(owner[is_hot], np.log10((hot_counts[at[is_hot]] + 0.1) / floor), minlength=n)
         known = np.bincount(owner[is_hot], minlength=n)
-        codes, owner = codes[~is_hot], owner[~is_hot]
-        order_ = np.argsort(codes, kind="stable")
-        codes, owner = codes[order_], owner[order_]
-        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(codes)))
-        part = (codes[first] % _U(parts)).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by_part], np.arange(parts + 1))
         out = []
-        for p in np.flatnonzero(np.diff(edges)):
-            r = by_part[edges[p] : edges[p + 1]]
-            each = times[r]
-            index = np.repeat(first[r] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-            out.append(("x", int(p), name, codes[first[r]].tobytes(), each.astype("<u4").tobytes(), owner[index].astype("<u4").tobytes(), n))
+
+        def ask(kind, codes, owner, part_of):
+            order_ = np.argsort(codes, kind="stable")
+            codes, owner = codes[order_], owner[order_]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(codes)))
+            part = part_of(codes[first])
+            by_part = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[by_part], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                r = by_part[edges[p] : edges[p + 1]]
+                each = times[r]
+                index = np.repeat(first[r] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+                out.append((kind, int(p), name, codes[first[r]].tobytes(), each.astype("<u4").tobytes(), owner[index].astype("<u4").tobytes(), n))
+
+        ask("x", codes[~is_hot], owner[~is_hot], lambda c: (c % _U(parts)).astype(np.int64))
+        ask("y", np.concatenate([f[2] for f in found]), np.concatenate([f[3] + f[0] for f in found]), lambda c: _part_of_gram(c, parts))
         about = json.dumps([ids, held, (batch.counts + 1).tolist(), known.tolist(), base.tolist(), scores.tolist()]).encode()
         out.append(("d", zlib.crc32(name.encode()) % parts, name, about, None, None, n))
         return pd.DataFrame(out, columns=["kind", "p", "chunk", "codes", "counts", "owners", "n"])
@@ -356,7 +417,7 @@ def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 10
         codes = np.frombuffer(table["codes"].iat[0], "<u8") if len(table) else np.empty(0, _U)
         counts = np.frombuffer(table["counts"].iat[0], "<i8") if len(table) else np.empty(0, np.int64)
         about = pdf[pdf["kind"] == "d"]
-        out = [(c, a, None, None) for c, a in zip(about["chunk"], about["codes"])]
+        out = [(c, a, None, None, None) for c, a in zip(about["chunk"], about["codes"])]
         asked = pdf[pdf["kind"] == "x"]
         for chunk, want, times, owners, n in zip(asked["chunk"], asked["codes"], asked["counts"], asked["owners"], asked["n"]):
             want, times, owners = np.frombuffer(want, "<u8"), np.frombuffer(times, "<u4"), np.frombuffer(owners, "<u4")
@@ -365,18 +426,30 @@ def score(docs: DataFrame, held_out: Column, *, order: int = 5, states: int = 10
                 at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
                 c = np.where(codes[at] == want, counts[at], 0)
             each = np.repeat(c, times)
-            out.append((chunk, None, np.bincount(owners, np.log10((each + 0.1) / floor), minlength=n).tobytes(), np.bincount(owners, each > 0, minlength=n).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "about", "base", "known"])
+            out.append((chunk, None, np.bincount(owners, np.log10((each + 0.1) / floor), minlength=n).tobytes(), np.bincount(owners, each > 0, minlength=n).astype("<i8").tobytes(), None))
+        asked = pdf[pdf["kind"] == "y"]
+        if len(asked):
+            entries = dict(shared.value[3])
+            for kind, codes, counts in zip(pdf["kind"], pdf["codes"], pdf["counts"]):
+                if kind > "g1" and kind[0] == "g":
+                    entries[int(kind[1:])] = np.frombuffer(codes, "<u8"), np.frombuffer(counts, "<i8")
+            table = Counts(order, entries)
+            for chunk, want, times, owners, n in zip(asked["chunk"], asked["codes"], asked["counts"], asked["owners"], asked["n"]):
+                logs = np.repeat(table.logs(np.frombuffer(want, "<u8")), np.frombuffer(times, "<u4"))
+                out.append((chunk, None, None, None, np.bincount(np.frombuffer(owners, "<u4"), logs, minlength=n).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "about", "base", "known", "score"])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, held, tokens, known, base, scores = json.loads(pdf["about"].dropna().iat[0])
-        base, known = np.array(base), np.array(known)
+        base, known, scores = np.array(base), np.array(known), np.array(scores)
         for b, k in zip(pdf["base"].dropna(), pdf["known"].dropna()):
             base, known = base + np.frombuffer(b, "<f8"), known + np.frombuffer(k, "<i8")
+        for more in pdf["score"].dropna():
+            scores = scores + np.frombuffer(more, "<f8")
         return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": n_train, "base_score": base, "score": scores})
 
     asked = rows.mapInPandas(spread, form)
-    table = words.select("kind", "p", F.lit(None).cast("string").alias("chunk"), "codes", "counts", F.lit(None).cast("binary").alias("owners"), F.lit(0).alias("n"))
-    met = asked.unionByName(table).groupBy("p").applyInPandas(meet, "chunk string, about binary, base binary, known binary")
+    table = counted.where("kind <> 'g1'").select("kind", "p", F.lit(None).cast("string").alias("chunk"), "codes", "counts", F.lit(None).cast("binary").alias("owners"), F.lit(0).alias("n"))
+    met = asked.unionByName(table).groupBy("p").applyInPandas(meet, "chunk string, about binary, base binary, known binary, score binary")
     out = met.groupBy("chunk").applyInPandas(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

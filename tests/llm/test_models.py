@@ -96,6 +96,17 @@ def test_byte_model_and_words(spark):
     assert ppm.score(docs.limit(3), F.lit(True)).count() == 3  # nothing to learn from
 
 
+def test_contexts_beyond_the_trie_count(spark):
+    """However few contexts are broadcast, scores are those of all counts."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["Ab", "ba", "cad", "é", f"r{rng.randrange(40)}"]) for _ in range(rng.randint(0, 30)))) for i in range(80)]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    want = brute_ppm([t for (_, t), h in zip(rows, held) if not h], [t for _, t in rows], 5)
+    for states in (0, 30):
+        got = {r.doc_id: r.score for r in ppm.score(docs_of(spark, rows), common.crc_mod("doc_id", 10) == 0, states=states).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-5)
+
+
 def test_a_smaller_trie_still_sums_to_one():
     texts = ["the cat sat on the mat", "the dog sat on the log"] * 3
     codes, counts = ppm.tally(ppm.grams(ppm.stream(texts, 3)[0], 3))
