@@ -334,6 +334,9 @@ WHEN regexp_matches(lower(substr(html, 1, 500)), '<!doctype html|<html|<head|<bo
 query("html_text_extract")(lambda spark, d: _html(table(spark, d, "pages")))
 query("markdown_plain", r"""SELECT doc_id AS id, trim(regexp_replace('Title item one first link quoted code bold ' || substr(text, 1, 200), '\s+', ' ', 'g')) AS plain FROM documents WHERE NOT regexp_matches(substr(text, 1, 200), '[*_`#<>\[\]~+0-9-]')""")(
     lambda spark, d: _docs(spark, d).where(~F.substring("body_text", 1, 200).rlike(r"[*_`#<>\[\]~+0-9-]")).select("id", X.markdown_plain(F.concat(F.lit("# Title\n- item one\n1. first\n[link](http://x)\n> quoted\n`code` **bold** "), F.substring("body_text", 1, 200))).alias("plain")))
+#: The query before leaves out rows and cuts texts, as its SQL does; these take every row whole, without SQL, and are tested against plain Python.
+query("markdown_plain_all")(lambda spark, d: _docs(spark, d).select("id", X.markdown_plain(F.col("body_text")).alias("plain")))
+query("markdown_plain_pages")(lambda spark, d: table(spark, d, "pages").select("page_id", X.markdown_plain(F.col("html")).alias("plain")))
 query("main_text")(lambda spark, d: _docs(spark, d).select("id", X.main_text(F.concat("body_text", F.lit("\n\nSent from my iPhone\nFrom: a@b.c\nSent: now")), F.lit(None).cast("string")).alias("main")))
 query("salvage_explode")(lambda spark, d: _salvage(table(spark, d, "conversations")))
 query("json_props_extract", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")(

@@ -42,6 +42,24 @@ def test_same_as_sql(spark, tables, duck, name):
         assert rows(got) == rows(want)
 
 
+def whole_texts(tmp_path, spark):
+    texts = ["# Head\n- item\n1. one\n[label](http://x) `code` **bold** __b__ *i* _j_ <b>tag</b> 5 - 3\n> quote\n```\nfence\n``` end", "word " * 100 + "**late** [a](b)", "plain", "", None,
+             "Body 1\n--\nSent from my iPhone yes", "Text\nOn Monday A wrote:\nmore", "a\n----------\nb\n***\nc", "x\nFrom: a\nSent: b\nTo: c\nSubject: d\ny IMPORTANT: z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    return texts
+
+
+def test_markdown_plain_of_whole_texts(spark, tables, tmp_path):
+    """Every row, every character: against the plain function."""
+    from epistle.functions.text import markdown_to_plain_text
+
+    texts = whole_texts(tmp_path, spark)
+    assert {r.id: r.plain for r in registry.QUERIES["markdown_plain_all"](spark, str(tmp_path)).collect()} == {i: markdown_to_plain_text(t) for i, t in enumerate(texts)}
+    pages = spark.read.parquet(f"{tables}/pages.parquet").select("page_id", "html").toPandas()
+    got = {r.page_id: r.plain for r in registry.QUERIES["markdown_plain_pages"](spark, tables).collect()}
+    assert got == {i: markdown_to_plain_text(t) for i, t in zip(pages.page_id, pages.html)}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
