@@ -255,6 +255,8 @@ _NORMAL = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 query("content_normalise", f"SELECT doc_id AS id, length({_NORMAL}) AS n, md5({_NORMAL}) AS digest FROM documents WHERE NOT regexp_matches(text, '(?i)sent from|get outlook|get mail|original message|important:|please consider|from:|wrote:|[-_=*#]{{2,}}')".replace("{{2,}}", "{2,}"))(
     lambda spark, d: _docs(spark, d).where(~F.col("body_text").rlike("(?i)sent from|get outlook|get mail|original message|important:|please consider|from:|wrote:|[-_=*#]{2,}")).select(
         "id", F.length(X.content_normal(F.col("body_text"))).cast("long").alias("n"), F.md5(X.content_normal(F.col("body_text")).cast("binary")).alias("digest")))
+#: Every row, signatures stripped; the query before leaves out, as its SQL does, the rows that have any.
+query("content_normalise_all")(lambda spark, d: _docs(spark, d).select("id", F.length(X.content_normal(F.col("body_text"))).cast("long").alias("n"), F.md5(X.content_normal(F.col("body_text")).cast("binary")).alias("digest")))
 query("content_hash_dups", "SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(
     lambda spark, d: M.repeated_hashes(table(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))))
 query("first_writer_registry", """SELECT sha256(text) AS sha256, arg_min(doc_id, (source, doc_id)) AS first_message_id, arg_min(source, (source, doc_id)) AS path, count(*) AS n_uses FROM documents GROUP BY 1""")(

@@ -60,6 +60,22 @@ def test_markdown_plain_of_whole_texts(spark, tables, tmp_path):
     assert got == {i: markdown_to_plain_text(t) for i, t in zip(pages.page_id, pages.html)}
 
 
+def test_content_normalise_strips_signatures(spark, tmp_path):
+    import hashlib
+    import re
+
+    from epistle.functions.text import QUOTE_SIGNATURES
+
+    def plain(t):
+        for p in QUOTE_SIGNATURES:
+            t = re.sub(p, "", t)
+        return re.sub("[^a-z0-9]", "", t.lower())
+
+    want = {i: (None, None) if t is None else (len(plain(t)), hashlib.md5(plain(t).encode()).hexdigest()) for i, t in enumerate(whole_texts(tmp_path, spark))}
+    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["content_normalise_all"](spark, str(tmp_path)).collect()} == want
+    assert want[5][0] == len("body1") and want[6][0] == len("textmore")
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
