@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import own_prefix, tune
 
 #: Hashed n-gram bins.
 BINS = 8192
@@ -118,19 +118,22 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, training: Column, *, clusters: int = 4, fit_rows: int = FIT_ROWS, slack: float = 0.5) -> CentroidModel:
     """Fit on rows where `training` holds and text and lang are not null.
 
-    fit_rows rows at most, shared evenly by the languages and chosen by a hash of doc_id and text. The
+    fit_rows distinct rows at most, shared evenly by the languages: those of least hash of doc_id and text, so
+    null or repeated doc_id do no harm and copies count once. An empty table gives a model without languages. The
     distance limit is `slack` times a low quantile of the cosine that training texts and
     beginnings of them reach at each length."""
     tune(docs.sparkSession)
-    rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(5)).bitwiseAND(F.lit((1 << 63) - 1))
+    rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), order.alias("order"), F.col("text").cast("string").alias("text"))
+    totals = {r["lang"]: r["n"] for r in rows.select("lang", "order").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return CentroidModel([], np.empty(0, int), np.empty((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(_LENGTHS))
     each = max(1, fit_rows // len(totals))
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
-    # twice the rows wanted on average, so that enough are there for any hash
+    # twice the rows wanted on average, so that enough are there for any hash; then exactly the least
     limit = F.element_at(F.create_map([F.lit(x) for s, n in totals.items() for x in (s, int((1 << 63) * min(1.0, 2 * each / n + 8 / n) - (1 << 10)))]), F.col("lang"))
-    chosen = rows.where(F.abs(order.bitwiseAND(F.lit((1 << 63) - 1))) <= limit).select("lang", order.alias("order"), F.col("text"))
+    chosen = rows.where(F.col("order") <= limit).groupBy("lang", "order").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
 
     def run(batches):
         for pdf in batches:
@@ -145,7 +148,6 @@ def fit(docs: DataFrame, training: Column, *, clusters: int = 4, fit_rows: int =
 
     found = chosen.mapInPandas(run, "lang string, order long, kind int, letters long, bins binary, counts binary").toPandas()
     found = found.sort_values(["lang", "order", "letters"]).reset_index(drop=True)
-    found = found[(found["kind"] == 1) | (found.groupby(["lang", "kind"]).cumcount() < each)]
 
     def dense(part):
         x = np.zeros((len(part), BINS), np.float32)
@@ -182,8 +184,8 @@ def fit(docs: DataFrame, training: Column, *, clusters: int = 4, fit_rows: int =
     return model
 
 
-def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected.
+def identify(docs: DataFrame, model: CentroidModel, names: str = "") -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and rejected; `names` stands before these three.
 
     'und', score 0 and rejected for null texts and texts without a letter. Only the text is
     read. Other columns are kept; those named like a result are replaced. Repeated rows and null doc_id are
@@ -193,8 +195,10 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def named(texts: pd.Series) -> pd.DataFrame:
-        names, score, far = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": far})
+        found, score, far = shared.value.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": found, "score": score, "rejected": far})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*kept).withColumn("_found", named(F.col("text").cast("string"))).select(*kept, "_found.lang_pred", "_found.score", "_found.rejected")
+    results = ["lang_pred", "score", "rejected"]
+    kept = [c for c in docs.columns if c not in [names + r for r in results]]
+    own = own_prefix(docs, "_own" + names)
+    return docs.select(*kept, named(F.col("text").cast("string")).alias(own)).select(*kept, *(F.col(f"{own}.{r}").alias(names + r) for r in results))

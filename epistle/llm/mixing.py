@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count
+from .common import own_prefix, stage, word_count
 
 #: Patterns up to which their sums are broadcast to the documents; beyond, they are joined by shuffling.
 BROADCAST_PATTERNS = 100_000
@@ -94,9 +94,10 @@ def min_cost_flow(supply: dict, quota: dict, tiers: Iterable[float]) -> dict:
 _NONE = object()
 
 
-def seeded(seed: str) -> Column:
-    """The seeded order of documents: MD5 of seed and doc_id, in hexadecimal."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+def seeded(seed: str, text: str = "text") -> Column:
+    """The seeded order of documents: MD5 of seed, doc_id and text, in hexadecimal. Only repeated rows share one."""
+    parts = [F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", text))]
+    return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
 def mix(docs: DataFrame, *, weights: dict | None = None, cycle: tuple = (5, 2, 1), share: float = 1.5, most: int = 2,
@@ -110,17 +111,21 @@ def mix(docs: DataFrame, *, weights: dict | None = None, cycle: tuple = (5, 2, 1
     source's words. The document at which a quota ends is taken in part, so that
     every quota is met exactly wherever the flow can; no document is taken more than `most` times.
 
-    Null and empty texts have size 0 and are never taken. Null sources are a source. A repeated row
-    counts anew and is treated as its twin is. An empty table gives no rows. Columns of
+    Null and empty texts have size 0 and are never taken. Null sources are a source, null doc_id is as good as any:
+    rows are told apart by doc_id and text. A repeated row
+    counts anew and is treated as its twin is (what is left for twins is shared evenly, rounded down). An empty table gives no rows. Columns of
     the input are kept; where one is named like a result, the result replaces it. The driver
     keeps sums by pattern and source, not documents.
     """
     spark = docs.sparkSession
     many = docs.schema[sources].dataType.typeName() == "array"
     listed = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array(F.lit(None).cast("string"))))) if many else F.array(F.col(sources).cast("string"))
-    sized = docs.withColumns({"_pattern": F.to_json(listed), "size": word_count(F.col(text)), "_order": seeded(seed)})
-    slim = stage(sized.select("_pattern", "size", "_order"), "mixing-sizes")
-    sums = [(r["_pattern"], tuple(json.loads(r["_pattern"])), r["w"], r["n"]) for r in slim.groupBy("_pattern").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()]
+    own = own_prefix(docs)
+    pattern_of, order_of = own + "pattern", own + "order"
+    sized = docs.withColumns({pattern_of: F.to_json(listed), "size": word_count(F.col(text)), order_of: seeded(seed, text)})
+    slim = stage(sized.select(F.col(pattern_of).alias("pattern"), "size", F.col(order_of).alias("order")), "mixing-sizes")
+    found = slim.groupBy("pattern").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    sums = [(r["pattern"], tuple(json.loads(r["pattern"])), r["w"], r["n"]) for r in found]
     source_size: dict = {}
     for _, pattern, words, _ in sums:
         for s in pattern:
@@ -133,34 +138,39 @@ def mix(docs: DataFrame, *, weights: dict | None = None, cycle: tuple = (5, 2, 1
     for key, p, w, n in sums:
         rounds, rest = divmod(sum(flow[p, s] for s in p), w) if w else (0, 0)
         rows.append((key, rounds, rest, source_size[p[0]], float(targets[p[0]]), math.isqrt(n) + 1))
-    plan = spark.createDataFrame(rows, "_pattern string, _rounds long, _rest long, source_size long, target double, _buckets long")
+    plan = spark.createDataFrame(rows, "pattern string, rounds long, rest long, source_size long, target double, buckets long")
     # one row a pattern, here and in what is cut from it below
     near = F.broadcast if len(rows) <= BROADCAST_PATTERNS else lambda df: df
     plan = near(plan)
 
     # The seeded order is cut where a pattern's rest ends: first among about sqrt(n) buckets by
     # their sums, then among the about sqrt(n) documents of one bucket.
-    place = F.conv(F.substring("_order", 1, 12), 16, 10).cast("double") / float(1 << 48)
-    dealt = slim.join(plan, "_pattern").where("_rest > 0").withColumn("_bucket", (place * F.col("_buckets")).cast("long"))
-    sizes = dealt.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
-    edge = _ends(sizes, "_bucket").select("_pattern", "_bucket", F.col("_before").alias("_skipped"))
-    close = dealt.join(near(edge), ["_pattern", "_bucket"]).groupBy("_pattern", "_order").agg(
-        F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_twins"), F.first(F.col("_rest") - F.col("_skipped")).alias("_rest"))
-    cut = _ends(close, "_order").select("_pattern", F.col("_order").alias("_edge"), F.floor((F.col("_rest") - F.col("_before")) / F.col("_twins")).alias("_part"))
-    extra = F.when(F.col("_order") < F.col("_edge"), F.col("size")).when(F.col("_order") == F.col("_edge"), F.col("_part")).otherwise(0)
-    drop = [c for c in ("source_size", "target") if c in docs.columns]
-    taken = sized.drop(*drop).join(plan, "_pattern").join(near(cut), "_pattern", "left").withColumn("taken", F.col("_rounds") * F.col("size") + extra)
-    copies = F.col("_rounds") + F.when(F.col("size") > 0, F.round(extra / F.col("size"))).otherwise(0)
-    return taken.withColumn("copies", copies.cast("int")).drop("_pattern", "_order", "_rounds", "_rest", "_buckets", "_edge", "_part")
+    place = F.conv(F.substring("order", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    dealt = slim.join(plan, "pattern").where("rest > 0").withColumn("bucket", (place * F.col("buckets")).cast("long"))
+    sizes = dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    edge = _ends(sizes, "bucket").select("pattern", "bucket", F.col("before").alias("skipped"))
+    close = dealt.join(near(edge), ["pattern", "bucket"]).groupBy("pattern", "order").agg(
+        F.sum("size").alias("words"), F.count(F.lit(1)).alias("twins"), F.first(F.col("rest") - F.col("skipped")).alias("rest"))
+    part = F.floor((F.col("rest") - F.col("before")) / F.col("twins"))
+    cut = _ends(close, "order").select("pattern", F.struct(F.col("order"), part.alias("part")).alias("edge"))
+    cut = near(plan.join(near(cut), "pattern", "left").select(F.col("pattern").alias(pattern_of), F.struct("rounds", "source_size", "target", "edge").alias(own)))
+
+    mine = lambda name: F.col(f"{own}.{name}")
+    extra = F.when(F.col(order_of) < mine("edge.order"), F.col("size")).when(F.col(order_of) == mine("edge.order"), mine("edge.part")).otherwise(0)
+    taken = sized.join(cut, pattern_of).withColumns({"source_size": mine("source_size"), "target": mine("target"), "taken": mine("rounds") * F.col("size") + extra})
+    copies = mine("rounds") + F.when(F.col("size") > 0, F.round(extra / F.col("size"))).otherwise(0)
+    return taken.withColumn("copies", copies.cast("int")).drop(own, pattern_of, order_of)
 
 
 def _ends(sums: DataFrame, order: str) -> DataFrame:
-    """Of each pattern, the row at which the running sum of _words reaches _rest, with what is _before it."""
-    upto = F.sum("_words").over(Window.partitionBy("_pattern").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return sums.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_words")).where("_before < _rest AND _upto >= _rest")
+    """Of each pattern, the row at which the running sum of words reaches rest, with what is before it."""
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words")).where("before < rest AND upto >= rest")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: whole documents, each as often as it has copies, with the input's columns."""
+    """The mix itself: whole documents, each as often as it has copies, with the input's columns. Nulls, repeats
+    and empty tables as in `mix`."""
+    times = own_prefix(docs)
     mixed = mix(docs, **options)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -6,8 +6,19 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the vocabulary files of public tokenizers are; a parameter of the environment.
-TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers, or of the folder TOKENIZER_DIR names."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+TOKENIZER = tokenizer_path()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +43,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), TOKENIZER)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret behind the surrogates: spark.epistle.pii.key. Where it is unset, as in tests and checks, a key that protects nothing."""
+    return spark.conf.get("spark.epistle.pii.key", "not a secret: set spark.epistle.pii.key")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace_entities
 
-    return replace_entities(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return replace_entities(documents(spark, sf_dir), key=surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op6_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS ord
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS n,

@@ -7,11 +7,16 @@ looked up afterwards, which yields the ids of the whole text at several times th
 
 A unit's key is what follows its leading space, or "\\n" and what follows a line end, or
 "\\x01" and the unit as it is.
+
+This holds for byte-level BPE without normalizer and with the usual pattern; the file's parts say whether
+it is one. With any other vocabulary, texts go to the library whole. The strings of special tokens in a text are ordinary
+text, as the description of the vocabulary files has it (`special=True` gives them their ids).
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
@@ -46,6 +51,14 @@ def _unit(key: str) -> str:
     return key[1:] if key[0] == "\x01" else key if key[0] == "\n" else " " + key
 
 
+def falls_into_units(parts: dict) -> bool:
+    """Whether a vocabulary file (its parts) cuts texts as this module does: BPE on bytes, the usual pattern, nothing else."""
+    before, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    return bool(plain and merges and parts.get("normalizer") is None and parts.get("truncation") is None)
+
+
 class _Slots(dict):
     """unit -> slot; a new unit gets the next slot and waits in `fresh` for its ids."""
 
@@ -60,13 +73,17 @@ class _Slots(dict):
 
 
 class TextEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.in_units = falls_into_units(parts)
+        self.special = [t["content"] for t in parts.get("added_tokens") or [] if special or not t["special"]]
         self._reset()
 
     def _reset(self):
@@ -111,6 +128,14 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, int32; null and empty texts have none."""
+        whole = [bool(t) and (not self.in_units or any(x in t for x in self.special)) for t in texts]
+        if any(whole):
+            encoded = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
+            others = iter(self._by_units([t for t, w in zip(texts, whole) if not w]))
+            return [np.array(next(encoded).ids, np.int32) if w else next(others) for w in whole]
+        return self._by_units(texts)
+
+    def _by_units(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.slots) > CACHE_UNITS:
             self._reset()
         look = self.slots.__getitem__

