@@ -50,12 +50,13 @@ class Tools:
     """Tools over a message table, optionally with its vector table and project registry.
 
     rank_order "best_first" pages keyword hits from the best; "worst_first" is what older clients expect. Ids are UUIDs unless
-    check_ids is false. encode turns a text into a vector; without it semantic queries fail with an error."""
+    check_ids is false. search answers keyword queries, from a stored index for instance; by default the texts are searched. encode turns a text into a vector; without it semantic queries fail with an error."""
 
-    def __init__(self, messages: DataFrame, vectors: DataFrame | None = None, registry: DataFrame | None = None, encode=None, rank_order: str = "best_first", check_ids: bool = True):
+    def __init__(self, messages: DataFrame, vectors: DataFrame | None = None, registry: DataFrame | None = None, encode=None, rank_order: str = "best_first", check_ids: bool = True, search=None):
         self.messages = with_defaults(messages)
         self.vectors = V.vector_table(self.messages) if vectors is None else vectors
         self.registry = messages.sparkSession.createDataFrame([], REGISTRY) if registry is None else registry
+        self.search = search or (lambda query: S.search(self.messages, query))
         self.encode, self.rank_order, self.check_ids = encode, rank_order, check_ids
 
     def query_email_database(self, semantic_query=None, exact_keywords=None, category_filter=None, project_filter=None, date_from=None, date_to=None, from_address=None, from_name=None,
@@ -76,7 +77,7 @@ class Tools:
         wanted = P.where(category=category_filter, project=project_filter, date_from=date_from, date_to=date_to, from_address=from_address, from_name=from_name, to_address=to_address,
                          is_outbound=is_outbound, has_attachments=has_attachments, cursor=cursor, ascending=ascending, tag_match=tag_match, chronological=chronological)
         try:
-            hits = S.search(self.messages, keywords) if keywords else None
+            hits = self.search(keywords) if keywords else None
         except FtsSyntaxError as error:
             return {"error": str(error), "results": []}
         rows = self.messages.where(wanted)
@@ -196,7 +197,7 @@ class Tools:
             found = _rows(rows.join(F.broadcast(near), "id").orderBy("distance", "id").select(*shown, "distance"))  # at most limit rows
             return {"results": found} if found else {"results": [], "reason": "the message has no vector or no neighbours"}
         if query and query.strip() not in ("", "*"):
-            rows = rows.join(S.search(self.messages, query).select("id"), "id", "left_semi")
+            rows = rows.join(self.search(query).select("id"), "id", "left_semi")
         return {"results": _rows(rows.orderBy(F.desc("ts_raw"), F.desc("id")).limit(limit).select(*shown))}
 
     def find_recipient_emails(self, email_address=None, limit=50) -> list[dict]:

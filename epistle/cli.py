@@ -15,23 +15,27 @@ from epistle.server import serve
 from epistle.sources.archive import Archive
 from epistle.streaming.ingest import ingest_available
 
-KINDS = ("sender", "from_name", "thread_id", "recipients", "is_outbound", "categories", "body_text", "body_main_text")
+KINDS = ("sender", "from_name", "thread_id", "recipients", "is_outbound", "categories", "projects", "body_text", "body_main_text")
 DIMENSIONS = int(os.environ.get("EPISTLE_DIMENSIONS", "384"))
 
 
 def main(argv: list[str] | None = None) -> dict:
-    """Runs what is asked for, in the order rebuild, embed, backfill, load, serve; returns what each step reports."""
+    """Runs what is asked for, in the order rebuild, embed, backfill, load, delete orphans, serve; returns what each step reports."""
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("archive")
     parser.add_argument("--load", metavar="FOLDER")
     parser.add_argument("--files-per-batch", type=int, default=100)
     parser.add_argument("--backfill", nargs="?", const="all", choices=("all", *KINDS))
+    parser.add_argument("--registry", metavar="FILE", help="projects (name, aliases, summary, created_at) as Parquet")
+    parser.add_argument("--owner", action="append", metavar="ADDRESS", help="whose messages are outbound; by default the most frequent sender's")
+    parser.add_argument("--delete-orphans", action="store_true")
     parser.add_argument("--embed", choices=("missing", "all"))
     parser.add_argument("--rebuild", action="store_true")
     parser.add_argument("--serve", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("epistle").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     archive, report = Archive(spark, args.archive), {}
+    registry = spark.read.parquet(args.registry) if args.registry else None
     if args.rebuild:
         report["rebuild"] = archive.rebuild_index()
     if args.embed:
@@ -40,13 +44,19 @@ def main(argv: list[str] | None = None) -> dict:
     if args.backfill:
         rows = archive.messages()
         for kind in KINDS if args.backfill == "all" else (args.backfill,):
-            rows = M.backfill(rows, kind)
+            if kind == "projects" and registry is None:
+                if args.backfill == "projects":
+                    parser.error("--backfill projects needs --registry")
+                continue
+            rows = M.backfill(rows, kind, registry)
         archive.replace_messages(rows)
         report["backfill"] = args.backfill
     if args.load:
-        report["load"] = ingest_available(spark, args.load, archive, f"{archive.path}/checkpoint", args.files_per_batch)
+        report["load"] = ingest_available(spark, args.load, archive, f"{archive.path}/checkpoint", args.files_per_batch, registry, args.owner)
+    if args.delete_orphans:
+        report["orphans"] = archive.delete_orphans()
     if args.serve:
-        serve(Tools(archive.messages(), archive.vectors() if archive.exists("vectors") else None))
+        serve(Tools(archive.messages(), archive.vectors() if archive.exists("vectors") else None, registry, search=archive.search))
     return report
 
 

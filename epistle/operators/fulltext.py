@@ -41,35 +41,72 @@ def idf(n_docs: Column, with_phrase: Column) -> Column:
     return F.greatest(F.log((n_docs - with_phrase + 0.5) / (with_phrase + 0.5)), F.lit(LEAST_IDF))
 
 
-def search(messages: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, rank (BM25, negative, less is better) and `keep` columns of the messages that match.
+def _tally(found: list, groups: list, column: str, words: Column, length: Column | None = None) -> Column:
+    """len, f0, f1, ... (places of each phrase) and g0, ... (whether each NEAR group holds) of the tokens of a column."""
 
-    One scan counts each phrase where it stands; corpus size, mean length and document frequencies are one
-    aggregate of those counts. Statistics cover all messages given, so filter afterwards."""
-    tree = Q.parse(query, columns)
-    found, groups = list(dict.fromkeys(Q.phrases(tree))), list(dict.fromkeys(Q.nears(tree)))
+    # bound in a lambda, so that the tokens are made once wherever the optimizer puts this
+    def about(w):
+        counts = [(F.size(Q.places(p, w)) if Q.found_in(p, column) else F.lit(0)).alias(f"f{k}") for k, p in enumerate(found)]
+        near = [(Q.near(g, w) if all(Q.found_in(p, column) for p in g.phrases) else F.lit(False)).alias(f"g{k}") for k, g in enumerate(groups)]
+        return F.struct((F.size(w) if length is None else length).alias("len"), *counts, *near)
 
-    def tally(c: str) -> Column:
-        # bound in a lambda, so that the tokens are made once wherever the optimizer puts this
-        def about(w):
-            counts = [(F.size(Q.places(p, w)) if Q.found_in(p, c) else F.lit(0)).alias(f"f{k}") for k, p in enumerate(found)]
-            near = [(Q.near(g, w) if all(Q.found_in(p, c) for p in g.phrases) else F.lit(False)).alias(f"g{k}") for k, g in enumerate(groups)]
-            return F.struct(F.size(w).alias("len"), *counts, *near)
+    return F.get(F.transform(F.array(words), about), F.lit(0))
 
-        return F.get(F.transform(F.array(tokens(F.col(c))), about), F.lit(0))
 
-    held = messages.select("id", *keep, *[tally(c).alias(f"_t_{c}") for c in columns])
-    total = lambda name: sum((F.col(f"_t_{c}.{name}") for c in columns[1:]), F.col(f"_t_{columns[0]}.{name}"))
-    some = lambda name: reduce(lambda a, b: a | b, [F.col(f"_t_{c}.{name}") for c in columns])
-    counted = held.select("id", *keep, total("len").alias("_len"), *[total(f"f{k}").alias(f"_f{k}") for k in range(len(found))], *[some(f"g{k}").alias(f"_g{k}") for k in range(len(groups))])
+def _ranked(tree, found: list, groups: list, counted: DataFrame, keep: tuple[str, ...], n: Column, average: Column) -> DataFrame:
+    """id, keep and rank of the rows of `counted` (id, keep, _len, _f0, ..., _g0, ...; _n, _avg, _d0, ...) that match."""
     counts, near = {p: F.col(f"_f{k}") for k, p in enumerate(found)}, {g: F.col(f"_g{k}") for k, g in enumerate(groups)}
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((c > 0).cast("long")).cast("double").alias(f"_d{k}") for k, c in enumerate(counts.values())])
-    hits = counted.where(Q.matches(tree, counts, near)).crossJoin(F.broadcast(stats))  # stats: one row
     score = F.lit(0.0)
-    for k, p in enumerate(found):
+    for k in range(len(found)):
         f = F.col(f"_f{k}").cast("double")
-        score = score + idf(F.col("_n"), F.col(f"_d{k}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return hits.select("id", *keep, (-score).alias("rank"))
+        score = score + idf(n, F.col(f"_d{k}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / average))
+    return counted.where(Q.matches(tree, counts, near)).select("id", *keep, (-score).alias("rank"))
+
+
+def search(messages: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, rank (BM25, negative, less is better) and `keep` columns of the messages that match, for tables without an index.
+
+    Two scans: one counts each phrase where it stands, one aggregates corpus size, mean length and document
+    frequencies. Statistics cover all messages given, so filter afterwards."""
+    tree = Q.parse(query, columns)
+    found, groups = list(dict.fromkeys(Q.phrases(tree))), list(dict.fromkeys(Q.nears(tree)))
+    held = messages.select("id", *keep, *[_tally(found, groups, c, tokens(F.col(c))).alias(f"_t_{c}") for c in columns])
+    total = lambda name: sum((F.col(f"_t_{c}.{name}") for c in columns[1:]), F.col(f"_t_{columns[0]}.{name}"))
+    some = lambda name: reduce(lambda a, b: a | b, [F.col(f"_t_{c}.{name}") for c in columns])
+    counted = held.select("id", *keep, total("len").alias("_len"), *[total(f"f{k}").alias(f"_f{k}") for k in range(len(found))], *[some(f"g{k}").alias(f"_g{k}") for k in range(len(groups))])
+    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_f{k}") > 0).cast("long")).cast("double").alias(f"_d{k}") for k in range(len(found))])
+    return _ranked(tree, found, groups, counted.crossJoin(F.broadcast(stats)), keep, F.col("_n"), F.col("_avg"))  # stats: one row
+
+
+def search_index(index: DataFrame, lengths: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """id and rank of the messages that match, the whole query language from a stored index: only the postings of the
+    query's terms and prefixes are read, and the lengths.
+
+    From a column's postings a sketch of its tokens is drawn: the query's tokens in order, gaps between
+    them no longer than any phrase or NEAR group can span. Phrases are counted in the sketch as in a text."""
+    tree = Q.parse(query, columns)
+    found, groups = list(dict.fromkeys(Q.phrases(tree))), list(dict.fromkeys(Q.nears(tree)))
+    whole = sorted({t for p in found for t in (p.tokens[:-1] if p.prefix else p.tokens)})
+    begun = sorted({p.tokens[-1] for p in found if p.prefix and p.tokens})
+    wanted = reduce(lambda a, b: a | b, [F.col("term").isin(whole), *(F.col("term").startswith(t) for t in begun)])
+    reach = max([2, *(len(p.tokens) + 1 for p in found), *(g.distance + sum(len(p.tokens) for p in g.phrases) + 1 for g in groups)])
+    placed = F.collect_list(F.transform("positions", lambda i: F.struct(i.alias("i"), F.col("term").alias("term"))))
+    marks = index.where(wanted & F.col("col").isin(*columns)).groupBy("id", "col").agg(F.array_sort(F.flatten(placed)).alias("at"))
+
+    def drawn(at):
+        before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(at, k - 1).i)
+        return F.flatten(F.transform(at, lambda m, k: F.concat(F.array_repeat(F.lit(""), F.least(m.i - before(k) - 1, F.lit(reach))), F.array(m.term))))
+
+    sketch = F.get(F.transform(F.array(F.col("at")), drawn), F.lit(0))
+    told = None
+    for c in columns:
+        told = F.when(F.col("col") == c, _tally(found, groups, c, sketch, F.lit(0))) if told is None else told.when(F.col("col") == c, _tally(found, groups, c, sketch, F.lit(0)))
+    each = marks.select("id", told.alias("t"))
+    counted = each.groupBy("id").agg(*[F.sum(f"t.f{k}").alias(f"_f{k}") for k in range(len(found))], *[F.max(f"t.g{k}").alias(f"_g{k}") for k in range(len(groups))], F.count(F.lit(1)).alias("_columns"))
+    frequencies = counted.agg(F.lit(1).alias("_one"), *[F.coalesce(F.sum((F.col(f"_f{k}") > 0).cast("long")), F.lit(0)).cast("double").alias(f"_d{k}") for k in range(len(found))])
+    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("length").alias("_avg"))
+    known = counted.join(lengths.select("id", F.col("length").alias("_len")), "id").crossJoin(F.broadcast(frequencies)).crossJoin(F.broadcast(stats))  # one row each
+    return _ranked(tree, found, groups, known, (), F.col("_n"), F.col("_avg"))
 
 
 def search_postings(index: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:

@@ -112,9 +112,8 @@ def bodies(message) -> tuple[str, str]:
     return html, plain
 
 
-def attachments_of(message, html: str, thread_id: str | None, ts_raw: str) -> list[dict]:
-    """Files of a message: what is disposed as an attachment, and named inline parts that the HTML does not show.
-    The path holds a prefix of the content's hash, so different contents never share one."""
+def payloads_of(message, html: str) -> list[tuple]:
+    """Part, name and bytes of a message's files: what is disposed as an attachment, and named inline parts that the HTML does not show."""
     shown, out = set(re.findall(r"cid:([^\"'>\s]+)", html)), []
     for part in message.walk():
         disposition = (part.get("Content-Disposition") or "").lower()
@@ -123,8 +122,15 @@ def attachments_of(message, html: str, thread_id: str | None, ts_raw: str) -> li
         if not disposition.strip() or "attachment" not in disposition and not inline or inline and (not name or (part.get("Content-ID") or "").strip("<>") in shown):
             continue
         content = part.get_payload(decode=True)
-        if content is None:
-            continue
+        if content is not None:
+            out.append((part, name, content))
+    return out
+
+
+def attachments_of(message, html: str, thread_id: str | None, ts_raw: str) -> list[dict]:
+    """The files of a message as structs. The path holds a prefix of the content's hash, so different contents never share one."""
+    out = []
+    for part, name, content in payloads_of(message, html):
         name = re.sub(r"[^\w\s\-.]", "_", name or f"attachment{mimetypes.guess_extension(part.get_content_type()) or '.bin'}")
         stem, ext = os.path.splitext(name)
         name = stem[: 255 - len(ext)] + ext
@@ -251,18 +257,43 @@ def quotes_column(plain: Column, html: Column) -> Column:
     return run(plain, html)
 
 
-def messages(parsed: DataFrame, registry: DataFrame | None = None, owners: list[str] | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """Parsed rows ready to store: deduplicated (messages by message_id, quotes by content), tagged, with
-    time and direction. Owners default to the most frequent sender of the batch."""
+def attachment_contents(raw: DataFrame) -> DataFrame:
+    """sha256 and content of the attachments of raw messages (column content), as `attachments_of` lists them."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for content in pdf["content"]:
+                try:
+                    message = email.message_from_bytes(bytes(content))
+                    out += payloads_of(message, bodies(message)[0])
+                except Exception:  # noqa: BLE001  the file has its row in the error table already
+                    continue
+            yield pd.DataFrame([(hashlib.sha256(c).hexdigest(), c) for _, _, c in out], columns=["sha256", "content"])
+
+    return raw.select("content").mapInPandas(run, "sha256 string, content binary")
+
+
+def messages(parsed: DataFrame, registry: DataFrame | None = None, owners: list[str] | None = None, stored: DataFrame | None = None, encoder=None, dims: int = 384) -> DataFrame:
+    """Parsed rows ready to store: deduplicated (messages by message_id, quotes by content and, given an encoder, by likeness
+    within their thread), tagged, raw bytes compressed, with time and direction. Owners default to the most frequent sender
+    of what is stored and parsed."""
     good = parsed.where("error IS NULL").drop("error")
     originals = M.new_messages(good.where(F.col("source") != QUOTED), stored)
     quotes = M.new_quotes(good.where(F.col("source") == QUOTED).join(originals.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"), stored)
+    if encoder is not None:
+        from epistle.operators import vectors as V
+
+        quotes = M.unlike_in_thread(V.embed(quotes, F.col("body_text"), dims, encoder))
     rows = originals.unionByName(quotes).withColumn("ts", F.try_to_timestamp("ts_raw")).withColumn("category_tags", M.categories(F.col("subject"), F.col("body_markdown")))
     if owners is None:
-        owners = [r.from_address for r in _owner(originals).collect()]
+        senders = originals.select("from_address")
+        if stored is not None:
+            senders = senders.unionByName(stored.where(F.coalesce("source", F.lit("original")) != QUOTED).select("from_address"))
+        owners = [r.from_address for r in _owner(senders).collect()]
     rows = rows.withColumn("is_outbound", M.is_outbound(owners) if owners else F.lit(False))
     rows = M.tag_projects(rows, registry) if registry is not None else rows.withColumn("project_tags", F.array().cast("array<string>"))
-    return rows.select(*[f.name for f in MESSAGES])
+    return rows.withColumn("raw_eml", compress(F.col("raw_eml"))).select(*[f.name for f in MESSAGES])
 
 
 def _owner(rows: DataFrame) -> DataFrame:

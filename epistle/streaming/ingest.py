@@ -14,15 +14,21 @@ from epistle.sources.archive import Archive
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="epistle-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="epistle-stream-")
     return f"{base.rstrip('/')}/epistle-stream/{name}-{uuid.uuid4().hex}"
 
 
-def ingest_available(spark: SparkSession, folder: str, archive: Archive, checkpoint: str, files_per_batch: int = 100, registry: DataFrame | None = None) -> int:
+def ingest_available(spark: SparkSession, folder: str, archive: Archive, checkpoint: str, files_per_batch: int = 100, registry: DataFrame | None = None,
+                     owners: list[str] | None = None, encoder=None, dims: int = 384) -> int:
     """Load the files below a folder that the checkpoint does not know yet; returns the number of batches.
 
     A batch is deduplicated against the archive before it is written, so a batch that runs again
-    after a failure adds nothing twice. Files that can't be parsed go to the table errors."""
+    after a failure adds nothing twice; its errors replace those it wrote before. Files that can't be parsed go to the
+    table errors. owners: the addresses whose messages are outbound; with an encoder, quotes much like another of their thread go."""
     schema = spark.read.format("binaryFile").load(folder).schema
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
     batches = []
@@ -30,8 +36,9 @@ def ingest_available(spark: SparkSession, folder: str, archive: Archive, checkpo
     def write(batch: DataFrame, number: int) -> None:
         parsed = eml.parse(batch.select("path", "content")).persist()
         stored = archive.messages() if archive.exists("messages") else None
-        archive.append(eml.messages(parsed, registry=registry, stored=stored))
-        parsed.where("error IS NOT NULL").select("source_path", "error", F.lit(number).alias("batch")).write.mode("append").parquet(f"{archive.path}/errors")
+        archive.append(eml.messages(parsed, registry=registry, stored=stored, owners=owners, encoder=encoder, dims=dims))
+        archive.store_attachments(eml.attachment_contents(batch))
+        parsed.where("error IS NOT NULL").select("source_path", "error").write.mode("overwrite").parquet(f"{archive.path}/errors/batch={number}")
         parsed.unpersist()
         batches.append(number)
 

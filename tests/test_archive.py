@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from epistle import server
 from epistle.api import NAMES, Tools
 from epistle.operators import analytics as A
+from epistle.operators import fulltext as S
 from epistle.operators import maintenance as M
 from epistle.operators import threads as T
 from epistle.operators import vectors as V
@@ -236,3 +237,28 @@ def test_classifier(spark, messages):
             break
         tagged += 1
     assert tagged == -(-untagged // 3) and rows.where("array_contains(category_tags, 'new')").count() == untagged
+
+
+def test_loads_keep_the_index_and_attachments(spark, folder, tmp_path):
+    """What is loaded after an index was built is found in it; attachments' bytes are stored once; owners count over the whole store."""
+    archive = Archive(spark, str(tmp_path / "a"))
+    rows = eml.read(spark, folder)
+    first = rows.where("message_id = 'm1@x.org'")
+    archive.append(first)
+    archive.rebuild_index("postings")
+    archive.rebuild_index("attachments")
+    assert archive.search("region").count() == 0
+    archive.append(rows)
+    assert {r.id for r in archive.search("meeting OR region").collect()} == {r.id for r in S.search(archive.messages(), "meeting OR region").collect()} != set()
+    assert archive._read("lengths").count() == archive.messages().count() and archive.sync_index() == {"lengths": 0, "attachments": 0}
+    raw = eml.files(spark, folder)
+    archive.store_attachments(eml.attachment_contents(raw))
+    archive.store_attachments(eml.attachment_contents(raw))
+    digest = archive._read("attachments").first().sha256
+    assert archive._read("attachment_data").count() == 1 and archive.attachment(digest) == b"hello" and archive.attachment("x") is None
+    archive.store_attachments(spark.createDataFrame([("0", bytearray(b"z"))], "sha256 string, content binary"))
+    assert archive.delete_orphans() == 1 and archive.attachment(digest) == b"hello"
+    stored = archive.messages().where("message_id = 'a1@x.org'").select(eml.decompress(F.col("raw_eml")).alias("raw")).first()
+    assert bytes(stored.raw) == ATTACHED
+    late = eml.messages(eml.parse(spark.createDataFrame([("p", bytearray(mail(9, sender="zed@x.org")))], "path string, content binary")), stored=archive.messages()).first()
+    assert not late.is_outbound  # the store's most frequent sender is another

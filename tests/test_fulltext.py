@@ -79,3 +79,13 @@ def test_tag_phrase(spark):
 
     assert [r.id for r in rows.where(S.tag_phrase(F.col("tags"), "Alpha")).orderBy("id").collect()] == [1, 2, 5]
     assert [r.id for r in rows.where(S.tag_phrase(F.col("tags"), 'Alpha "Beta"')).collect()] == [5]
+
+
+def test_stored_index_answers_the_whole_language(docs, tmp_path):
+    """Every query has the ids and ranks from a stored index that it has from the texts."""
+    S.postings(docs).write.parquet(f"{tmp_path}/p")
+    S.document_lengths(docs).write.parquet(f"{tmp_path}/l")
+    index, lengths = (docs.sparkSession.read.parquet(f"{tmp_path}/{x}").cache() for x in "pl")
+    for query in (*QUERIES, "nowhere", '"three beta"', "^the OR qu*", "subject : qu* NOT lunch"):
+        want = {r.id: round(r.rank, 9) for r in S.search(docs, query).collect()}
+        assert {r.id: round(r.rank, 9) for r in S.search_index(index, lengths, query).collect()} == want, query
