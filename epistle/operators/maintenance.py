@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,10 +79,16 @@ def only_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 # -- enrichment ------------------------------------------------------------------------------------
 
 def categories(subject: Column, body: Column) -> Column:
-    """Sorted names of all categories one of whose words occurs in the subject or the first 1500 characters."""
+    """Sorted names of all categories one of whose words occurs in the subject or the first 1500 characters. A word is
+    looked for as a plain string first; only where it occurs does a pattern decide whether it stands alone."""
     text = F.lower(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 1500)))
-    hit = [F.when(text.rlike("(?U)" + "|".join(w if " " in w else rf"\b{w}\b" for w in words)), F.lit(name)) for name, words in sorted(CATEGORIES.items())]
-    return F.array_compact(F.array(*hit))
+
+    def named(t):
+        stands = lambda w: t.contains(w) if " " in w else t.contains(w) & t.rlike(rf"(?U)\b{w}\b")
+        return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(stands, words)), F.lit(name)) for name, words in sorted(CATEGORIES.items())]))
+
+    # bound in a lambda, so that the text is lowered once
+    return F.get(F.transform(F.array(text), named), F.lit(0))
 
 
 def tag_projects(messages: DataFrame, registry: DataFrame, most_names: int = 100_000) -> DataFrame:
