@@ -262,7 +262,7 @@ b AS (SELECT coalesce(v.id, t.id) AS id, coalesce(0.6::DOUBLE / (60 + vr + 1), 0
       CASE WHEN tr IS NULL THEN 'vector' WHEN vr IS NULL THEN 'fts' ELSE 'both' END AS method FROM v FULL JOIN t ON v.id = t.id)
 SELECT id, round(s, 6) AS score, method FROM b ORDER BY s DESC, id LIMIT 20"""
 query("hybrid_rrf", _bm25_sql([_term("the"), _term("than")], "f0 > 0 AND f1 > 0", _HYBRID_TAIL))(
-    lambda spark, d: V.fuse(V.knn(_vectors(spark, d), _seed(_vectors(spark, d), 7), 50), S.search(_docs(spark, d), "the than"), 20))
+    lambda spark, d: V.fuse(V.knn(_vectors(spark, d), _seed(_vectors(spark, d), 7), 50), S.search_index(*_index(spark, d), "the than"), 20))
 query("vector_upsert", "SELECT vec_id AS id, CASE WHEN label = 3 THEN 99 ELSE label END AS label FROM embeddings")(
     lambda spark, d: V.upsert(_vectors(spark, d).select("id", "label"), _vectors(spark, d).where("label = 3").select("id", F.lit(99).cast("int").alias("label"))))
 query("encode_texts")(lambda spark, d: V.embed(_docs(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")), F.col("body_text"), 64).select("id", F.round(V.norm(F.col("embedding")), 5).alias("norm")))
