@@ -120,3 +120,20 @@ def test_rules():
     assert attribute(first, last, starts, ends, "end")[0].tolist() == [0, 1, 2, -1]
     assert attribute(first, last, starts, ends, "majority")[0].tolist() == [0, 0, 1, -1]
     assert attribute(first, last, starts, ends, "majority")[1].tolist() == [False, True, True, True]
+
+
+def test_other_vocabularies_and_special_tokens():
+    """A vocabulary of another kind is given whole texts; the strings of special tokens are text unless asked for."""
+    import json
+    from pathlib import Path
+
+    other = str(Path(TOKENIZER).with_name("word_bpe_49k.json"))
+    texts = ["Hello  World, it's 2024\n\n ünï <|endoftext|> x", "", None, "a b"]
+    for path, special in ((other, False), (TOKENIZER, True), (TOKENIZER, False)):
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = not special
+        assert [g.tolist() for g in TextEncoder(path, special).encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    parts = json.loads(Path(TOKENIZER).read_text())
+    from epistle.llm.token_ids import falls_into_units
+
+    assert falls_into_units(parts) and not falls_into_units(parts | {"normalizer": {"type": "NFC"}}) and not falls_into_units(json.loads(Path(other).read_text()))
