@@ -368,3 +368,20 @@ def test_surrogates_in_hostile_texts(spark):
     got = {r.doc_id: r for r in pii.replace_entities(docs, key="k").collect()}
     assert len(got) == 7 and got[7].n_entities == 1 and "bob@" not in got[7].text and got[1].text == rows[0][1]
     assert got[1]._own == 1 and got[1].hash == 1
+
+
+def test_mixing_tells_rows_of_one_doc_id_apart(spark):
+    rows = [(1, "w", None, "a"), (1, "w " * 99, None, "a"), (2, "w " * 50, None, "a"), (3, "w " * 400, None, "b"), (None, "x", None, "a"), (None, "y " * 70, None, "a")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("_rest", "_own", "_ownorder")})
+    got = mixing.mix(docs).collect()
+    assert len(got) == 6 and all(0 <= r.taken <= 2 * r["size"] and r._rest == 1 for r in got)
+
+
+def test_languages_without_doc_ids(spark):
+    """Null doc_id and repeated rows do the fit no harm; at most fit_rows rows are fitted on."""
+    en, de = "the cat sat on the mat with other cats of house {}", "der hund und die katze sind nicht in dem haus {}"
+    rows = [(None, t.format("abcdefghij"[i % 10] * (i // 10 + 1)), lang) for i in range(100) for t, lang in ((en, "en"), (de, "de"))] + [(None, en, "en")] * 300
+    model = langid.fit(docs_of(spark, rows), F.lit(True), fit_rows=60)
+    assert model.languages == ["de", "en"]
+    odd = docs_of(spark, [(1, "the cat and the house"), (2, "die katze und der hund")]).withColumn("_found", F.lit(1))
+    assert [(r.lang_pred, r._found) for r in langid.identify(odd, model).orderBy("doc_id").collect()] == [("en", 1), ("de", 1)]
