@@ -1,36 +1,36 @@
 """Repeated passages by seed and extend.
 
-Seeds: every run of SEED words has a hash, and of each window of `length` words the least of its
-seeds is an anchor (winnowing), so equal windows have equal anchors at equal places. Windows are joined
-on their anchors. Extend: an anchor stands in up to length - SEED + 1 windows, which reach from
-it both ways; those that another occurrence of the anchor shares are repeats, and overlapping ones
-make the maximal repeats.
-
-Texts are handled in chunks. Inside a chunk each distinct window is sent once however often it occurs there, so a
-passage in a third of all documents costs one row a chunk and no pairs are ever formed.
+Seeds: every run of SEED words has a hash, and the leftmost least seed of each window of `length` words is its
+anchor (winnowing), so equal windows have equal anchors at equal places. An anchor serves a run of consecutive
+windows; the words these cover are its reach. Texts are joined on their anchors, and only anchors that stand in
+more than one place go on. Extend: places of an anchor whose whole reach is alike match at once, through one row a
+reach. Where a reach has no equal, its match is extended both ways, word by word: a window that begins k words
+before the seed matches another place if the k words to the left of the seed and those to its right as far as the
+window's end are alike there. Overlapping matches make the maximal repeats.
+
+Equal texts are one row throughout, equal reaches one row from the first join on; sums are made before rows are
+sent, so that no group of copies, places of an anchor or matches is ever gathered in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, tune
-from .words import WordBatch, runs, scramble
+from .common import stage, tune
+from .words import WordBatch, runs, scramble, spans_of
 
 #: Words in a seed; at most the length of a repeat.
 SEED = 12
-#: Characters of text in a chunk, and bytes of text behind one joining task: both bound memory.
-CHUNK, TASK_BYTES = 4_000_000, 16_000_000
+#: Characters of text handled at once, which bounds a worker's memory.
+CHUNK = 4_000_000
+#: A key with more than one in so many of all rows is joined by broadcast; there are fewer such keys than this.
+HOT = 1000
 _U = np.uint64
-_SENT = "p long, chunk string, anchors binary, starts binary, counts binary, keys binary, docs binary"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,71 +46,114 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def windows(batch: WordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of `length` words within one text: its first word, its hash, and the hash
-    of its anchor."""
+def anchors(batch: WordBatch, length: int):
+    """Of each anchor, in order: its text, the first of its windows and its seed as words of that text, the number
+    of its windows, its hash and the hash of its reach."""
     seed = min(SEED, length)
     hashes = batch.hashes()
     if len(hashes) < length:
-        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U)
+        none = np.empty(0, np.int64)
+        return none, none, none, none, np.empty(0, _U), np.empty(0, _U)
     owner = batch.owners()
     at = np.flatnonzero(owner[: len(owner) - length + 1] == owner[length - 1 :])
     seeds = runs(hashes, seed)
-    return at, runs(hashes, length)[at], seeds[_least(seeds, length - seed + 1)[at]]
-
-
-def _send(chunk, texts, ids, keys, length, parts):
-    """Rows of one chunk: for each part its windows; for the chunk its documents and local repeats."""
-    batch = WordBatch(texts)
-    at, window, anchor = windows(batch, length)
-    order = np.argsort(window, kind="stable")
-    fresh = np.append(True, window[order][1:] != window[order][:-1]) if len(order) else np.empty(0, bool)
-    first = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(first, len(order)))
-    local = at[order[np.repeat(sizes > 1, sizes)]]
-    once = np.sort(order[first])
-    at, window, anchor = at[once], window[once], anchor[once]
-    part = (anchor % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    cut = lambda a: a.tobytes()
-    out = []
-    for p in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[p] : edges[p + 1]]
-        a, w, key = at[rows], anchor[rows], window[rows]
-        new = np.append(True, (w[1:] != w[:-1]) | (a[1:] != a[:-1] + 1))
-        head = np.flatnonzero(new)
-        counts = np.diff(np.append(head, len(rows)))
-        six = np.ascontiguousarray(key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-        out.append((int(p), chunk, cut(w[head].astype("<u8")), cut(a[head].astype("<u4")), cut(counts.astype("<u4")), six.tobytes(), None))
-    listed = json.dumps([ids, keys, batch.counts.tolist()]).encode()
-    out.append((zlib.crc32(chunk.encode()) % parts, chunk, b"", np.sort(local).astype("<u4").tobytes(), b"", b"", listed))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _SENT.split(", ")])
-
-
-def _extend(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one part: the places of those that occur in more than one chunk, by chunk."""
-    sent = pdf[pdf["docs"].isna()]
-    back = pdf[pdf["docs"].notna()][["chunk", "starts", "docs"]]
-    if not len(sent):
-        return back
-    counts = [np.frombuffer(b, "<u4") for b in sent["counts"]]
-    total = [int(c.sum()) for c in counts]
-    count = np.concatenate(counts)
-    anchor = np.repeat(np.frombuffer(b"".join(sent["anchors"]), "<u8"), count)
-    run_start = np.cumsum(count) - count
-    place = np.repeat(np.frombuffer(b"".join(sent["starts"]), "<u4").astype(np.int64) - run_start, count) + np.arange(len(anchor))
-    key = np.zeros((len(anchor), 8), np.uint8)
-    key[:, :6] = np.frombuffer(b"".join(sent["keys"]), np.uint8).reshape(-1, 6)
-    both = scramble(anchor ^ scramble(key.view("<u8")[:, 0].astype(_U)))
-    order = np.argsort(both)
-    same = both[order][1:] == both[order][:-1]
-    again = np.zeros(len(both), bool)
-    again[order] = np.append(False, same) | np.append(same, False)
-    found = np.split(place.astype("<u4"), np.cumsum(total)[:-1])
-    marks = np.split(again, np.cumsum(total)[:-1])
-    rows = [(c, f[m].tobytes(), None) for c, f, m in zip(sent["chunk"], found, marks) if m.any()]
-    return pd.concat([back, pd.DataFrame(rows, columns=["chunk", "starts", "docs"])])
+    place = _least(seeds, length - seed + 1)[at]
+    head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
+    many = np.diff(np.append(head, len(at)))
+    first, place = at[head], place[head]
+    text = owner[first]
+    begin = batch.bounds[text]
+    return text, first - begin, place - begin, many, seeds[place], spans_of(hashes, first, first + many - 1 + length)
+
+
+def _chunks(batches):
+    """Rows of Arrow batches as lists of columns, CHUNK characters of text at a time (the last column)."""
+    rows, held = [], 0
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            rows.append(row)
+            held += len(row[-1])
+            if held >= CHUNK:
+                yield list(zip(*rows))
+                rows, held = [], 0
+    if rows:
+        yield list(zip(*rows))
+
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)
+
+
+def _meet(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with facts, one for each key. `weight` sums to `total` at most; keys with more than one
+    HOT-th of it, of which there are fewer than HOT, are broadcast, so no task gets all rows of a hot key."""
+    hot = F.broadcast(facts.where(F.col(weight) * HOT > total))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(facts.where(F.col(weight) * HOT <= total), on))
+
+
+def _total(df: DataFrame, column: str) -> int:
+    return df.agg(F.sum(column)).first()[0] or 0
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """id, key (SHA-256 of the text), n (rows with that text), text: a row for each distinct text, staged; null is empty."""
+    same = docs.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return stage(same.select(F.monotonically_increasing_id().alias("id"), _key("text"), "n", "text"), "substring-texts")
+
+
+def _key(text):
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)).alias("key")
+
+
+def matches(texts: DataFrame, *, length: int = 35) -> DataFrame:
+    """id, at, many: in that text, the `many` windows that begin with word `at` and after it also start anywhere else.
+    A text with n > 1 repeats itself and has no row, though others match it."""
+
+    def seed(batches):
+        for ids, ns, listed in _chunks(batches):
+            text, at, place, many, anchor, reach = anchors(WordBatch(list(listed)), length)
+            yield pd.DataFrame(
+                {"id": np.array(ids, np.int64)[text], "n": np.array(ns, np.int64)[text], "at": at, "seed": place, "many": many,
+                 "anchor": _signed(anchor), "reach": _signed(reach)}
+            )
+
+    places = texts.select("id", "n", "text").mapInPandas(seed, "id long, n long, at long, seed long, many long, anchor long, reach long")
+    places = stage(places, "substring-places")
+    total = _total(places, "n")
+    one = F.min(F.struct("id", "at", "seed", "many")).alias("one")
+    reaches = stage(places.groupBy("anchor", "reach").agg(F.sum("n").alias("n"), one), "substring-reaches")
+
+    # the whole reach stands elsewhere: one row settles all its windows
+    whole = _meet(places.where("n = 1").drop("n"), reaches.where("n > 1").select("anchor", "reach", "n"), ["anchor", "reach"], "n", total)
+
+    # anchors with several reaches, one of them without an equal: extend
+    met = reaches.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
+    several = _meet(reaches, met.where("d > 1 AND open > 0"), ["anchor"], "d", total)
+    several = several.select("one.*", "anchor", "n").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "seed", "many", "anchor", "n")).alias("todo"))
+
+    def extend(batches):
+        for ids, todos, listed in _chunks(batches):
+            batch = WordBatch(list(listed))
+            counts = [len(t) for t in todos]
+            column = lambda name: np.array([x[name] for t in todos for x in t], np.int64)
+            many = column("many")
+            rows = np.repeat(np.arange(len(many)), many)
+            begin = np.repeat(batch.bounds[:-1], counts)
+            start = (begin + column("at"))[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+            place = (begin + column("seed"))[rows]
+            hashes = batch.hashes()
+            yield pd.DataFrame(
+                {"id": np.repeat(np.array(ids, np.int64), counts)[rows], "at": start - begin[rows], "n": column("n")[rows], "anchor": column("anchor")[rows],
+                 "left": _signed(spans_of(hashes, start, place)), "right": _signed(spans_of(hashes, place + min(SEED, length), start + length))}
+            )
+
+    texts_with = texts.join(several, F.col("id") == F.col("of")).select("id", "todo", "text")
+    around = stage(texts_with.mapInPandas(extend, "id long, at long, n long, anchor long, left long, right long"), "substring-around")
+    on = ["anchor", "left", "right"]
+    again = around.groupBy(*on).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("d")).where("c > 1")
+    parts = _meet(around.where("n = 1").drop("n"), again, on, "d", around.count())
+    return whole.select("id", "at", "many").unionByName(parts.select("id", "at", F.lit(1).cast("long").alias("many")))
 
 
 def merge(starts: np.ndarray, length: int) -> list[int]:
@@ -120,45 +163,6 @@ def merge(starts: np.ndarray, length: int) -> list[int]:
     return np.stack((begin, end), axis=1).ravel().tolist()
 
 
-def repeats(docs: DataFrame, *, length: int = 35) -> DataFrame:
-    """doc_id (as text), key (xxhash64 of the text), spans: the maximal repeats of a document as
-    [start, end, ...] in words. One row for each document with repeats; repeated rows have one
-    each, all alike."""
-    spark = docs.sparkSession
-    tune(spark)
-    rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts = max(shuffle_width(spark), size // TASK_BYTES)
-
-    def seed(batches):
-        # named by partition and number, so that a task that runs again names its chunks alike
-        pid, n, texts, ids, keys, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-        for pdf in batches:
-            for i, t, k in zip(pdf["doc_id"], pdf["text"], pdf["key"]):
-                texts.append(t)
-                ids.append(i)
-                keys.append(int(k))
-                held += len(t) if t else 0
-                if held >= CHUNK:
-                    yield _send(f"{pid}-{n}", texts, ids, keys, length, parts)
-                    n, texts, ids, keys, held = n + 1, [], [], [], 0
-        if texts:
-            yield _send(f"{pid}-{n}", texts, ids, keys, length, parts)
-
-    def collect(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in pdf["starts"]])).astype(np.int64)
-        ids, keys, counts = json.loads(pdf["docs"].dropna().iat[0])
-        counts = np.array(counts)
-        first = np.cumsum(counts) - counts
-        edges = np.searchsorted(starts, np.append(first, counts.sum()))
-        out = [(ids[d], keys[d], merge(starts[edges[d] : edges[d + 1]] - first[d], length)) for d in np.flatnonzero(np.diff(edges))]
-        return pd.DataFrame(out, columns=["doc_id", "key", "spans"])
-
-    sent = rows.mapInPandas(seed, _SENT)
-    dealt = sent.groupBy("p").applyInPandas(_extend, "chunk string, starts binary, docs binary")
-    return dealt.groupBy("chunk").applyInPandas(collect, "doc_id string, key long, spans array<long>")
-
-
 def remove_repeats(docs: DataFrame, *, length: int = 35, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if keep_text, kept (the words left, joined by
     one space), for every document.
@@ -166,26 +170,35 @@ def remove_repeats(docs: DataFrame, *, length: int = 35, keep_text: bool = True)
     Every word in a window of `length` words that also starts anywhere else, in whatever document, goes; windows are
     judged on the input. Null and empty texts have no words. Repeated rows repeat each other,
     so all their long passages go. Null doc_id stays null. An empty table gives no rows; other columns are ignored.
-    Windows are told apart by 64 bits of their anchor and 48 of their own."""
+    Windows are told apart by three hashes of 64 bits: of the seed and of the words left and right of it, or of the
+    seed and its reach; texts by SHA-256."""
     tune(docs.sparkSession)
-    found = repeats(docs, length=length).groupBy("doc_id", "key").agg(F.first("spans").alias("spans"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans")
-    rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").select("doc_id", "text", "spans")
+    texts = texts_of(docs)
+    found = matches(texts, length=length)
+    found = found.groupBy(F.col("id").alias("of")).agg(F.collect_list("at").alias("at"), F.collect_list("many").alias("many"))
+    # of texts that are there once; the others go whole or stay whole
+    joined = texts.join(found, F.col("id") == F.col("of"), "left").select("key", "n", "at", "many", "text")
 
     def cut(batches):
-        for pdf in batches:
-            batch = WordBatch(pdf["text"].tolist())
+        for keys, ns, ats, manys, listed in _chunks(batches):
+            batch = WordBatch(list(listed))
             out = []
-            for d, (i, spans) in enumerate(zip(pdf["doc_id"], pdf["spans"])):
+            for d, (key, n, at, many) in enumerate(zip(keys, ns, ats, manys)):
                 a, b = int(batch.bounds[d]), int(batch.bounds[d + 1])
-                spans = [] if spans is None else list(spans)
+                spans = []
+                if n > 1 and b - a >= length:
+                    spans = [0, b - a]
+                elif n == 1 and at is not None and len(at):
+                    at, many = np.array(at, np.int64), np.array(many, np.int64)
+                    starts = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    spans = merge(np.unique(starts), length)
                 edges = [0, *spans, b - a]
                 kept = b" ".join(batch.raw[batch.starts[a + s] : batch.ends[a + e - 1]] for s, e in zip(edges[::2], edges[1::2]) if e > s)
                 removed = sum(spans[1::2]) - sum(spans[::2])
-                out.append((i, b - a, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                out.append((key, n, b - a, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
+            yield pd.DataFrame(out, columns=["key", "n", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    result = joined.mapInPandas(cut, "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string")
-    result = result.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-    return result if keep_text else result.drop("kept")
+    result = joined.mapInPandas(cut, "key binary, n long, n_words long, n_removed long, kept_sha256 string, kept string")
+    result = stage(result if keep_text else result.drop("kept"), "substring-kept")
+    rows = docs.select("doc_id", _key("text"))
+    return _meet(rows, result, ["key"], "n", _total(result, "n")).drop("key", "n")

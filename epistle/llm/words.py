@@ -89,6 +89,13 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return scramble((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1])
 
 
+def spans_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run hashes[start:end], of any length; empty runs are alike."""
+    power, inverse = _power(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashes * power[: len(hashes)], dtype=_U)))
+    return scramble((sums[ends] - sums[starts]) * inverse[starts] + scramble((ends - starts).astype(_U)))
+
+
 _P1, _P2, _P3, _P4, _P5 = map(_U, (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
