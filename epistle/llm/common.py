@@ -59,15 +59,25 @@ def own_prefix(df: DataFrame, start: str = "_own") -> str:
     return start
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a
     lost executor costs only a re-read. The files go when the driver process ends or
     `release` is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/epistle/{name}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_path = path
+    return read
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what `stage` wrote for this table; nothing that is still to run may read it."""
+    spark, path = staged.sparkSession, staged.staged_path
+    _staged.remove((spark, path))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

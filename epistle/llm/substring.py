@@ -8,8 +8,8 @@ reach. Where a reach has no equal, its match is extended both ways, word by word
 before the seed matches another place if the k words to the left of the seed and those to its right as far as the
 window's end are alike there. Overlapping matches make the maximal repeats.
 
-Equal texts are one row throughout, equal reaches one row from the first join on; sums are made before rows are
-sent, so that no group of copies, places of an anchor or matches is ever gathered in one task.
+Anchors are counted before rows are sent and hot ones joined by broadcast, and of each reach one place is extended, so
+neither copies of a text nor the places of an anchor are ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tune
+from .common import discard, stage, tune
 from .words import WordBatch, runs, scramble, spans_of
 
 #: Words in a seed; at most the length of a repeat.
@@ -92,45 +92,35 @@ def _meet(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total:
     return rows.join(hot, on).unionByName(rest.join(facts.where(F.col(weight) * HOT <= total), on))
 
 
-def _total(df: DataFrame, column: str) -> int:
-    return df.agg(F.sum(column)).first()[0] or 0
-
-
-def texts_of(docs: DataFrame) -> DataFrame:
-    """id, key (SHA-256 of the text), n (rows with that text), text: a row for each distinct text, staged; null is empty."""
-    same = docs.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    return stage(same.select(F.monotonically_increasing_id().alias("id"), _key("text"), "n", "text"), "substring-texts")
-
-
-def _key(text):
-    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)).alias("key")
-
-
 def matches(texts: DataFrame, *, length: int = 35) -> DataFrame:
     """id, at, many: in that text, the `many` windows that begin with word `at` and after it also start anywhere else.
-    A text with n > 1 repeats itself and has no row, though others match it."""
+    `texts` has a row for each text: id, text."""
+    width = length - min(SEED, length) + 1
 
     def seed(batches):
-        for ids, ns, listed in _chunks(batches):
+        for ids, listed in _chunks(batches):
             text, at, place, many, anchor, reach = anchors(WordBatch(list(listed)), length)
-            yield pd.DataFrame(
-                {"id": np.array(ids, np.int64)[text], "n": np.array(ns, np.int64)[text], "at": at, "seed": place, "many": many,
-                 "anchor": _signed(anchor), "reach": _signed(reach)}
-            )
-
-    places = texts.select("id", "n", "text").mapInPandas(seed, "id long, n long, at long, seed long, many long, anchor long, reach long")
-    places = stage(places, "substring-places")
-    total = _total(places, "n")
-    one = F.min(F.struct("id", "at", "seed", "many")).alias("one")
-    reaches = stage(places.groupBy("anchor", "reach").agg(F.sum("n").alias("n"), one), "substring-reaches")
-
-    # the whole reach stands elsewhere: one row settles all its windows
-    whole = _meet(places.where("n = 1").drop("n"), reaches.where("n > 1").select("anchor", "reach", "n"), ["anchor", "reach"], "n", total)
-
-    # anchors with several reaches, one of them without an equal: extend
-    met = reaches.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
-    several = _meet(reaches, met.where("d > 1 AND open > 0"), ["anchor"], "d", total)
-    several = several.select("one.*", "anchor", "n").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "seed", "many", "anchor", "n")).alias("todo"))
+            place = (at * width + place - at) * width + many - 1
+            yield pd.DataFrame({"id": np.array(ids, np.int64)[text], "place": place, "anchor": _signed(anchor), "reach": _signed(reach)})
+
+    # a place: first window, words from there to the seed, windows less 1, as digits to the base `width`
+    at, to_seed, many = F.expr(f"place div {width * width}"), F.expr(f"place div {width} % {width}"), F.expr(f"place % {width} + 1")
+    places = stage(texts.select("id", "text").mapInPandas(seed, "id long, place long, anchor long, reach long"), "substring-places", "zstd")
+    total = places.count()
+    shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("reach").alias("least"), F.max("reach").alias("most")).where("c > 1")
+    met = stage(_meet(places, shared, ["anchor"], "c", total).select("id", "place", "anchor", "reach", (F.col("least") < F.col("most")).alias("several")), "substring-met")
+    discard(places)
+
+    # every place of the anchor has the same reach, or this reach stands elsewhere: all its windows match
+    alike, unlike = met.where("NOT several"), met.where("several").drop("several")
+    on = ["anchor", "reach"]
+    reaches = stage(unlike.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("one")), "substring-reaches")
+    whole = _meet(unlike, reaches.where("n > 1").select(*on, "n"), on, "n", total)
+    whole = alike.select("id", "place").unionByName(whole.select("id", "place")).select("id", at.alias("at"), many.alias("many"))
+
+    # one place of each reach is extended
+    todo = reaches.select("one.*", "anchor", "n").select("id", at.alias("at"), to_seed.alias("to_seed"), many.alias("many"), "anchor", "n")
+    todo = todo.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "to_seed", "many", "anchor", "n")).alias("todo"))
 
     def extend(batches):
         for ids, todos, listed in _chunks(batches):
@@ -140,20 +130,21 @@ def matches(texts: DataFrame, *, length: int = 35) -> DataFrame:
             many = column("many")
             rows = np.repeat(np.arange(len(many)), many)
             begin = np.repeat(batch.bounds[:-1], counts)
-            start = (begin + column("at"))[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-            place = (begin + column("seed"))[rows]
+            first = begin + column("at")
+            start = first[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+            seeds = (first + column("to_seed"))[rows]
             hashes = batch.hashes()
             yield pd.DataFrame(
                 {"id": np.repeat(np.array(ids, np.int64), counts)[rows], "at": start - begin[rows], "n": column("n")[rows], "anchor": column("anchor")[rows],
-                 "left": _signed(spans_of(hashes, start, place)), "right": _signed(spans_of(hashes, place + min(SEED, length), start + length))}
+                 "left": _signed(spans_of(hashes, start, seeds)), "right": _signed(spans_of(hashes, seeds + min(SEED, length), start + length))}
             )
 
-    texts_with = texts.join(several, F.col("id") == F.col("of")).select("id", "todo", "text")
-    around = stage(texts_with.mapInPandas(extend, "id long, at long, n long, anchor long, left long, right long"), "substring-around")
+    texts_with = texts.join(todo, F.col("id") == F.col("of")).select("id", "todo", "text")
+    around = stage(texts_with.mapInPandas(extend, "id long, at long, n long, anchor long, left long, right long"), "substring-around", "zstd")
     on = ["anchor", "left", "right"]
     again = around.groupBy(*on).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("d")).where("c > 1")
     parts = _meet(around.where("n = 1").drop("n"), again, on, "d", around.count())
-    return whole.select("id", "at", "many").unionByName(parts.select("id", "at", F.lit(1).cast("long").alias("many")))
+    return whole.unionByName(parts.select("id", "at", F.lit(1).cast("long").alias("many")))
 
 
 def merge(starts: np.ndarray, length: int) -> list[int]:
@@ -170,35 +161,32 @@ def remove_repeats(docs: DataFrame, *, length: int = 35, keep_text: bool = True)
     Every word in a window of `length` words that also starts anywhere else, in whatever document, goes; windows are
     judged on the input. Null and empty texts have no words. Repeated rows repeat each other,
     so all their long passages go. Null doc_id stays null. An empty table gives no rows; other columns are ignored.
-    Windows are told apart by three hashes of 64 bits: of the seed and of the words left and right of it, or of the
-    seed and its reach; texts by SHA-256."""
+    Windows are told apart by three hashes of 64 bits (of the seed and of the words left and right of it) or by two (of
+    the seed and its reach)."""
     tune(docs.sparkSession)
-    texts = texts_of(docs)
-    found = matches(texts, length=length)
-    found = found.groupBy(F.col("id").alias("of")).agg(F.collect_list("at").alias("at"), F.collect_list("many").alias("many"))
-    # of texts that are there once; the others go whole or stay whole
-    joined = texts.join(found, F.col("id") == F.col("of"), "left").select("key", "n", "at", "many", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = stage(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", text.alias("text")), "substring-texts", "zstd")
+    found = stage(matches(texts, length=length), "substring-matches")
+    found = found.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "many")).alias("found"))
+    joined = texts.join(found, F.col("id") == F.col("of"), "left").select(F.col("doc_id").cast("string"), "found", "text")
 
     def cut(batches):
-        for keys, ns, ats, manys, listed in _chunks(batches):
+        for ids, founds, listed in _chunks(batches):
             batch = WordBatch(list(listed))
             out = []
-            for d, (key, n, at, many) in enumerate(zip(keys, ns, ats, manys)):
+            for d, (i, found) in enumerate(zip(ids, founds)):
                 a, b = int(batch.bounds[d]), int(batch.bounds[d + 1])
                 spans = []
-                if n > 1 and b - a >= length:
-                    spans = [0, b - a]
-                elif n == 1 and at is not None and len(at):
-                    at, many = np.array(at, np.int64), np.array(many, np.int64)
+                if found is not None and len(found):
+                    at, many = np.array([x["at"] for x in found]), np.array([x["many"] for x in found])
                     starts = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
                     spans = merge(np.unique(starts), length)
                 edges = [0, *spans, b - a]
                 kept = b" ".join(batch.raw[batch.starts[a + s] : batch.ends[a + e - 1]] for s, e in zip(edges[::2], edges[1::2]) if e > s)
                 removed = sum(spans[1::2]) - sum(spans[::2])
-                out.append((key, n, b - a, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
-            yield pd.DataFrame(out, columns=["key", "n", "n_words", "n_removed", "kept_sha256", "kept"])
+                out.append((i, b - a, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    result = joined.mapInPandas(cut, "key binary, n long, n_words long, n_removed long, kept_sha256 string, kept string")
-    result = stage(result if keep_text else result.drop("kept"), "substring-kept")
-    rows = docs.select("doc_id", _key("text"))
-    return _meet(rows, result, ["key"], "n", _total(result, "n")).drop("key", "n")
+    result = joined.mapInPandas(cut, "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string")
+    result = result.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return result if keep_text else result.drop("kept")
