@@ -54,7 +54,7 @@ def test_markdown_plain_of_whole_texts(spark, tables, tmp_path):
     from epistle.functions.text import markdown_to_plain_text
 
     texts = whole_texts(tmp_path, spark)
-    assert {r.id: r.plain for r in registry.QUERIES["markdown_plain_all"](spark, str(tmp_path)).collect()} == {i: markdown_to_plain_text(t) for i, t in enumerate(texts)}
+    assert {r.id: r.plain for r in registry.QUERIES["markdown_plain"](spark, str(tmp_path)).collect()} == {i: markdown_to_plain_text(t) for i, t in enumerate(texts)}
     pages = spark.read.parquet(f"{tables}/pages.parquet").select("page_id", "html").toPandas()
     got = {r.page_id: r.plain for r in registry.QUERIES["markdown_plain_pages"](spark, tables).collect()}
     assert got == {i: markdown_to_plain_text(t) for i, t in zip(pages.page_id, pages.html)}
@@ -72,7 +72,7 @@ def test_content_normalise_strips_signatures(spark, tmp_path):
         return re.sub("[^a-z0-9]", "", t.lower())
 
     want = {i: (None, None) if t is None else (len(plain(t)), hashlib.md5(plain(t).encode()).hexdigest()) for i, t in enumerate(whole_texts(tmp_path, spark))}
-    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["content_normalise_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["content_normalise"](spark, str(tmp_path)).collect()} == want
     assert want[5][0] == len("body1") and want[6][0] == len("textmore")
 
 
