@@ -35,6 +35,8 @@ BUCKET = 400_000
 PASS_ROWS, NARROW_ROWS = 2_000_000, 20_000
 #: A bucket of up to STEPS rows is compared row by following row together with others, a larger one by itself in blocks.
 STEPS, BLOCK = 1024, 64
+#: Characters hashed at a time in a worker; a longer text is hashed by itself, whole.
+PIECE = 300_000
 #: What a probe costs, in comparisons.
 PROBE = 400.0
 
@@ -70,7 +72,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42, words: i
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            found = [fingerprints(texts[piece], shingle, seed, words).reshape(-1, words) for piece in in_pieces(texts, 2_000_000)]
+            found = [fingerprints(texts[piece], shingle, seed, words).reshape(-1, words) for piece in in_pieces(texts, PIECE)]
             fp = np.concatenate(found).view(np.int64) if found else np.empty((0, words), np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "fp": fp[:, 0], "more": fp[:, 1] if words > 1 else 0})
 
