@@ -59,6 +59,15 @@ def falls_into_units(parts: dict) -> bool:
     return bool(plain and merges and parts.get("normalizer") is None and parts.get("truncation") is None)
 
 
+def parts_of(tokenizer) -> dict:
+    """The parts of a loaded tokenizer that decide how it cuts texts, named as in its file. The whole file as Python objects
+    would take more memory than the tokenizer does."""
+    names = "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"
+    model = {k: getattr(tokenizer.model, k, None) for k in names} | {"type": type(tokenizer.model).__name__}
+    before = tokenizer.pre_tokenizer
+    return {"pre_tokenizer": before and json.loads(before.__getstate__()), "model": model, "normalizer": tokenizer.normalizer, "truncation": tokenizer.truncation}
+
+
 class _Slots(dict):
     """unit -> slot; a new unit gets the next slot and waits in `fresh` for its ids."""
 
@@ -80,10 +89,9 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = not special
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            parts = json.load(f)
-        self.in_units = falls_into_units(parts)
-        self.special = [t["content"] for t in parts.get("added_tokens") or [] if special or not t["special"]]
+        self.in_units = falls_into_units(parts_of(self.tokenizer))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added if special or not t.special]
         self._reset()
 
     def _reset(self):
