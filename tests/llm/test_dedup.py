@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -250,3 +251,30 @@ def test_spotsig_pairs(spark):
     got = {(r.a, r.b) for r in spotsigs.pairs(docs, least=0.6).collect()}
     sets = [brute_signatures(t) for t in texts[:30]]
     assert got == {(a, b) for b in range(30) for a in range(b) if sets[a] != sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+
+
+@pytest.mark.parametrize("nodes,edges", [(1, 0), (2, 1), (60, 40), (60, 90), (3000, 2500)])
+def test_stars_connect_what_edges_connect(nodes, edges):
+    """Against a plain union-find; every edge starts at the least node of its group."""
+    from epistle.llm.components import stars
+
+    rng = np.random.default_rng(nodes + edges)
+    a, b = rng.integers(-nodes, nodes, (2, edges))
+    a, b = a[a != b], b[a != b]
+
+    def least(pairs):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+        return {x: root(x) for x in list(up)}
+
+    x, y = stars(a, b)
+    want = least(zip(a.tolist(), b.tolist()))
+    assert {**{k: k for k in x.tolist()}, **dict(zip(y.tolist(), x.tolist()))} == want
