@@ -33,6 +33,31 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[least[other]], nodes[other]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges (a[k], b[k]), fewer than there are nodes, that connect what all of them connect: of each group the first edge
+    that leaves it, again and again (Boruvka)."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    group, taken, left = np.arange(len(nodes)), [], np.arange(len(a))
+    while True:
+        left = left[group[i[left]] != group[j[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(taken)) if taken else left
+        first = np.full(len(nodes), len(a))
+        for end in (i, j):
+            np.minimum.at(first, group[end[left]], left)
+        own = np.flatnonzero(first < len(a))
+        edge = first[own]
+        taken.append(np.unique(edge))
+        to = np.arange(len(nodes))
+        to[own] = np.where(group[i[edge]] == own, group[j[edge]], group[i[edge]])
+        both = own[(to[to[own]] == own) & (own < to[own])]  # two groups that chose one edge: the lesser stays
+        to[both] = both
+        while (to[to] != to).any():
+            to = to[to]
+        group = to[group]
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Edges a, b with those of one task replaced by stars. A crowd that many links hold together comes down to an edge a node before
     anything is shuffled. A task holds at most HELD edges and a batch: stars that are too many go out as they are."""

@@ -9,6 +9,10 @@ t is probed under every mask that leaves out t of its bits; fingerprints equal u
 a bucket and are verified there. Buckets too large for one task are dealt anew on their remaining
 bits, by the same principle, until none is.
 
+Where masks are many, the fingerprints that the first of them link get the name of their group; under the other masks
+only links between groups are emitted, of each task a spanning forest. A crowd of near copies, linked under nearly every
+mask, thus costs a few edges a member.
+
 A second word of 64 bits can be asked for as a check: far fewer pairs then agree by chance, so that a wide
 radius stays sound however many documents there are.
 """
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, shuffle_width, stage, tune
-from .components import components
+from .components import HELD, components, forest
 from .token_ids import in_pieces
 from .words import WordBatch, scramble, xxh64
 
@@ -35,6 +39,8 @@ BUCKET = 400_000
 PASS_ROWS, NARROW_ROWS = 2_000_000, 20_000
 #: A bucket of up to STEPS rows is compared row by following row together with others, a larger one by itself in blocks.
 STEPS, BLOCK = 1024, 64
+#: Masks probed before fingerprints are named by group; as many or fewer are probed at once.
+FIRST = 8
 #: Characters hashed at a time in a worker; a longer text is hashed by itself, whole.
 PIECE = 300_000
 #: What a probe costs, in comparisons.
@@ -271,7 +277,7 @@ def tree_links(fp: np.ndarray, more: np.ndarray, near: Near) -> tuple[np.ndarray
 
 
 def _bucket_links(mask, value, fp, more, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Links of sorted rows, bucket by bucket: small buckets together, each row with the following ones of its bucket;
+    """Links (places of rows) of sorted rows, bucket by bucket: small buckets together, each row with the following ones of its bucket;
     large ones, and those with many links, by tree."""
     first = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])))
     sizes = np.diff(np.append(first, len(fp)))
@@ -283,8 +289,8 @@ def _bucket_links(mask, value, fp, more, near: Near) -> tuple[np.ndarray, np.nda
     while len(at):
         hit = at[near.pairs(fp, more, at, at + step)]
         if len(hit):
-            out_a.append(fp[hit])
-            out_b.append(fp[hit + step])
+            out_a.append(hit)
+            out_b.append(hit + step)
             links_of += np.bincount(bucket[hit], minlength=len(first))
             crowded = (links_of > 8 * sizes) & ~by_tree
             if crowded.any():
@@ -295,37 +301,63 @@ def _bucket_links(mask, value, fp, more, near: Near) -> tuple[np.ndarray, np.nda
     for k in np.flatnonzero(by_tree):
         rows = slice(first[k], first[k] + sizes[k])
         a, b = tree_links(fp[rows], more[rows], near)
-        out_a.append(fp[rows][a])
-        out_b.append(fp[rows][b])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (fp[:0], fp[:0])
+        out_a.append(first[k] + a)
+        out_b.append(first[k] + b)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (first[:0], first[:0])
 
 
 def links(fps: DataFrame, radius: int = 3, check: int | None = None) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (column fp; with a check also more) as all their links do: at most
-    `radius` differing bits in fp, and at most `check` in fp and more. Within a crowded bucket only a
-    spanning forest is emitted. Masks are probed in passes of about `PASS_ROWS` rows a task, each written to the shared folder, so that
-    memory does not grow with their number."""
+    `radius` differing bits in fp, and at most `check` in fp and more. A task emits a spanning forest of what it finds."""
+    before, _, after = _links(fps, radius, check)
+    return reduce(DataFrame.unionByName, before + after)
+
+
+def linked(fps: DataFrame, radius: int = 3, check: int | None = None) -> DataFrame:
+    """node, component (its least node) of every fingerprint with links."""
+    before, groups, after = _links(fps, radius, check)
+    if groups is None:
+        return components(reduce(DataFrame.unionByName, before))
+    known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    return components(reduce(DataFrame.unionByName, after, known))
+
+
+def _links(fps: DataFrame, radius: int, check: int | None) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
+    """Edges of the first masks, the components (node, component) that these make, and the edges of all other masks between those
+    components; where masks are few, the edges of all of them and None. Masks are probed in passes of about `PASS_ROWS` rows a task,
+    each written to the shared folder, so that memory does not grow with their number."""
     spark = fps.sparkSession
     if "more" not in fps.columns:
         fps = fps.withColumn("more", F.lit(0).cast("long"))
     n, both = bit_counts(fps)
     masks, parts = allocate(n, both, radius), radius + 1
+    name_at = FIRST if len(masks) > FIRST else None
+    if name_at:  # masks of all partitions come first
+        apart = [k * len(masks) // FIRST for k in range(FIRST)]
+        masks = [masks[k] for k in apart] + [m for k, m in enumerate(masks) if k not in apart]
     width = max(shuffle_width(spark), 1)
-    rows, count, dealt, edges = fps, n, {None: [_signed(m) for m in masks]}, []  # dealt: masks by the mask that rows have in common
+    edges, before, groups = [], [], None
+    rows, count, dealt = fps.withColumn("crowd", F.col("fp")), n, {None: [_signed(m) for m in masks]}  # dealt: masks by the mask that rows have in common
     while dealt:
         crowds, found = [], {}
-        each = max(1, width * PASS_ROWS // max(count, 1))
-        for k in range(0, max(map(len, dealt.values())), each):
-            now = {m: _array(to[k : k + each]) for m, to in dealt.items() if to[k : k + each]}
+        each, most = max(1, width * PASS_ROWS // max(count, 1)), max(map(len, dealt.values()))
+        starts = sorted({*range(0, most, each), *([name_at] if name_at and None in dealt else [])})
+        for k, end in zip(starts, [*starts[1:], most]):
+            if name_at == k and None in dealt:
+                before, edges = edges, []
+                groups = components(reduce(DataFrame.unionByName, before))
+                named = rows.drop("crowd").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+                rows = stage(named.select("fp", "more", F.coalesce("component", "fp").alias("crowd")), "simhash-crowds")
+            now = {m: _array(to[k:end]) for m, to in dealt.items() if to[k:end]}
             if None in now:
                 probes = now[None]
             else:
                 probes = F.create_map([F.lit(x) for pair in now.items() for x in pair])[F.col("mask")]
-            keyed = rows.select("fp", "more", F.explode(probes).alias("mask"))
+            keyed = rows.select("fp", "more", "crowd", F.explode(probes).alias("mask"))
             with arrow_rows(spark, NARROW_ROWS):
                 done = stage(_within_buckets(keyed, width, BUCKET, Near(radius, check)), "simhash-links")
             edges.append(done.where("mask IS NULL").select("a", "b"))
-            crowded = done.where("mask IS NOT NULL").select(F.col("a").alias("fp"), F.col("b").alias("more"), "mask")
+            crowded = done.where("mask IS NOT NULL").select(F.col("a").alias("fp"), F.col("b").alias("more"), "crowd", "mask")
             counts = crowded.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()  # masks, a few hundred at most
             for r in counts:
                 found[r["mask"]] = found.get(r["mask"], 0) + r["n"]
@@ -334,41 +366,58 @@ def links(fps: DataFrame, radius: int = 3, check: int | None = None) -> DataFram
         dealt = {m: [_signed(x) for x in split_mask(m & (1 << 64) - 1, parts)] for m in found}
         count = sum(found.values())
         rows = reduce(DataFrame.unionByName, crowds) if crowds else None
-    return reduce(DataFrame.unionByName, edges)
+    return (edges, None, []) if groups is None else (before, groups, edges)
 
 
 def _within_buckets(keyed: DataFrame, width: int, limit: int, near: Near) -> DataFrame:
-    """Of rows fp, more, mask: the links a, b of the buckets of at most `limit` rows (mask null), and the rows of larger
-    buckets as they came (a: fp, b: more, mask). A large bucket passes through in pieces and is never held."""
+    """Of rows fp, more, mask, crowd: links a, b of the buckets of at most `limit` rows (mask null), and the rows of larger
+    buckets as they came (a: fp, b: more, mask, crowd). A large bucket passes through in pieces and is never held. The links of a task
+    connect the crowds that all of its links connect, without circles; those within a crowd are left out."""
 
     def run(batches):
         none = np.empty(0, np.int64)
-        held, crowded = (none, none, none, none), None  # rows not given yet, whole buckets but the last; the large bucket that is passing
+        held, crowded = (none, none, none, none, none), None  # rows not given yet, whole buckets but the last; the large bucket that is passing
+
+        pending = [none, none, none, none]  # links not given yet: both ends, both crowds
 
-        def give(mask, value, fp, more):
+        def thin(a, b, x, y):
+            chosen = forest(x, y)
+            return [e[chosen] for e in (a, b, x, y)]
+
+        def give(mask, value, fp, more, crowd):
             """Rows of whole buckets."""
             new = np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))
             sizes = np.diff(np.append(np.flatnonzero(new), len(fp)))
             big = np.repeat(sizes > limit, sizes)
-            yield from hand_on(mask[big], fp[big], more[big])
+            yield from hand_on(mask[big], fp[big], more[big], crowd[big])
             if not big.all():
-                a, b = (x.view(np.int64) for x in _bucket_links(*(x[~big].view(np.uint64) for x in (mask, value, fp, more)), near))
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "mask": pd.array([None] * len(a), "Int64")})
-
-        def hand_on(mask, fp, more):
+                i, j = _bucket_links(*(x[~big].view(np.uint64) for x in (mask, value, fp, more)), near)
+                fp, crowd = fp[~big], crowd[~big]
+                pending[:] = (np.append(x, y) for x, y in zip(pending, thin(fp[i], fp[j], crowd[i], crowd[j])))
+                if len(pending[0]) > HELD:
+                    pending[:] = thin(*pending)
+                    if len(pending[0]) > HELD // 2:
+                        yield from give_links()
+
+        def give_links():
+            a, b = pending[:2]
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "mask": pd.array([None] * len(a), "Int64"), "crowd": 0})
+            pending[:] = none, none, none, none
+
+        def hand_on(mask, fp, more, crowd):
             if len(fp):
-                yield pd.DataFrame({"a": fp, "b": more, "mask": pd.array(mask, "Int64")})
+                yield pd.DataFrame({"a": fp, "b": more, "mask": pd.array(mask, "Int64"), "crowd": crowd})
 
-        def pass_by(mask, value, fp, more):
+        def pass_by(mask, value, fp, more, crowd):
             """Hand on the rows of the large bucket that is passing; the rest."""
             same = (mask == crowded[0]) & (value == crowded[1])
-            return hand_on(mask[same], fp[same], more[same]), tuple(x[~same] for x in (mask, value, fp, more)), bool(same.all())
+            return hand_on(mask[same], fp[same], more[same], crowd[same]), tuple(x[~same] for x in (mask, value, fp, more, crowd)), bool(same.all())
 
         waiting, count = [], 0
         for pdf in batches:
-            mask, fp, more = (pdf[c].to_numpy(np.int64) for c in ("mask", "fp", "more"))
-            waiting.append((mask, fp & mask, fp, more))
+            mask, fp, more, crowd = (pdf[c].to_numpy(np.int64) for c in ("mask", "fp", "more", "crowd"))
+            waiting.append((mask, fp & mask, fp, more, crowd))
             count += len(pdf)
             if count < min(100_000, 2 * limit):
                 continue
@@ -386,18 +435,20 @@ def _within_buckets(keyed: DataFrame, width: int, limit: int, near: Near) -> Dat
                 held = tuple(x[cut:] for x in held)
                 if len(held[0]) > limit:
                     crowded = held[0][0], held[1][0]
-                    yield from hand_on(held[0], held[2], held[3])
-                    held = none, none, none, none
+                    yield from hand_on(held[0], *held[2:])
+                    held = none, none, none, none, none
         held = tuple(np.concatenate(x) for x in zip(held, *waiting))
         if crowded is not None:
             gone, held, _ = pass_by(*held)
             yield from gone
         if len(held[0]):
             yield from give(*held)
+        pending[:] = thin(*pending)
+        yield from give_links()
 
     value = F.col("fp").bitwiseAND(F.col("mask"))
     dealt = keyed.repartition(width, F.col("mask"), value).sortWithinPartitions(F.col("mask"), value)
-    return dealt.mapInPandas(run, "a long, b long, mask long")
+    return dealt.mapInPandas(run, "a long, b long, mask long, crowd long")
 
 
 def _array(masks: list[int]):
@@ -419,7 +470,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, seed:
     hashed = stage(with_fingerprint(docs, shingle, seed, 1 if check is None else 2), "simhash-fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
     nodes = stage(hashed.groupBy("fp").agg(least, F.min("more").alias("more"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    labels = components(links(nodes.select("fp", "more"), radius, check))  # node, component: only nodes with links
+    labels = linked(nodes.select("fp", "more"), radius, check)  # node, component: only nodes with links
     named = stage(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")).select("fp", "n", "component", "least"), "simhash-named")
     sums = named.groupBy("component").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("nodes"))
     sums = stage(sums, "simhash-components")

@@ -278,3 +278,38 @@ def test_stars_connect_what_edges_connect(nodes, edges):
     x, y = stars(a, b)
     want = least(zip(a.tolist(), b.tolist()))
     assert {**{k: k for k in x.tolist()}, **dict(zip(y.tolist(), x.tolist()))} == want
+
+
+@pytest.mark.parametrize("nodes,edges", [(1, 0), (2, 1), (60, 40), (60, 300), (3000, 9000)])
+def test_forest_of_edges(nodes, edges):
+    """Its edges are some of those given, close no circle and connect what all of them connect."""
+    from epistle.llm.components import forest, stars
+
+    rng = np.random.default_rng(nodes + edges)
+    a, b = rng.integers(-nodes, nodes, (2, edges))
+    chosen = forest(a, b)
+    assert len(set(chosen.tolist())) == len(chosen) == len(stars(a, b)[0])
+    assert [x.tolist() for x in stars(a[chosen], b[chosen])] == [x.tolist() for x in stars(a, b)]
+
+
+def test_a_crowd_linked_under_every_mask_is_a_few_edges_a_member(spark):
+    """Near copies of two texts and others: what is emitted does not grow with the number of masks; no group changes."""
+    rng = np.random.default_rng(5)
+    flips = lambda n, most: [sum(1 << int(b) for b in rng.choice(62, rng.integers(0, most), replace=False)) for _ in range(n)]
+    one, two = (int(x) for x in rng.integers(1 << 62, size=2))
+    fps = sorted({one ^ x for x in flips(500, 8)} | {two ^ x for x in flips(300, 4)} | {int(x) for x in rng.integers(1 << 62, size=400)})
+    df = spark.createDataFrame([(x, x >> 7) for x in fps], "fp long, more long")
+    assert len(simhash.allocate(*simhash.bit_counts(df), 9)) > 2 * simhash.FIRST
+    near = np.array([[bin(x ^ y).count("1") <= 9 and bin(x ^ y).count("1") + bin(x >> 7 ^ y >> 7).count("1") <= 16 for y in fps] for x in fps])
+    found = simhash.links(df, 9, 16).collect()
+    at = {x: i for i, x in enumerate(fps)}
+    assert all(near[at[r.a], at[r.b]] for r in found)
+    assert len(found) < 5 * len(fps)  # tasks of a pass x members at most; the forests of all masks would be far more
+    label = np.arange(len(fps))
+    while True:
+        low = np.where(near, label[None], len(fps)).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    want = {fps[i]: fps[label[i]] for i in range(len(fps)) if near[i].sum() > 1}
+    assert {r.node: r.component for r in simhash.linked(df, 9, 16).collect()} == want
