@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,8 +124,90 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int) -> DataFrame:
     return scored.orderBy(F.desc("_score"), "id").limit(limit).select("id", F.round("_score", 6).alias("score"), "method")
 
 
+#: Rows of a block of a large group; rows of all small groups of a task; rows compared with a block at a time.
+BLOCK, POOLED, STRIP = 4096, 20_000, 256
+
+
+class Vectors:
+    """Some rows' vectors: exact lengths, summed in the order of components, and unit vectors of single precision. Rows
+    without a direction (zero, not finite) have none: they are candidates of every pair."""
+
+    def __init__(self, x: np.ndarray):
+        self.by_component = np.ascontiguousarray(x.T, dtype=float)
+        squares = np.zeros(len(x))
+        for c in self.by_component:
+            squares += c * c
+        self.length = np.sqrt(squares)
+        self.unit = (self.by_component / self.length).T.astype(np.float32)
+        self.unit[~np.isfinite(self.length) | (self.length == 0)] = np.nan
+
+    def cosine(self, i: np.ndarray, other: Vectors, j: np.ndarray) -> np.ndarray:
+        """Exact to the last bit of a sum over components; NaN where a row has no direction."""
+        out = np.zeros(len(i))
+        for x, y in zip(self.by_component, other.by_component):
+            out += x[i] * y[j]
+        return np.clip(out / (self.length[i] * other.length[j]), -1, 1)
+
+
+def _pairs_of(x: Vectors, y: Vectors, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and cosines of pairs, strip by strip: of rows of x with rows of y, or of x alone if y is x. A matrix product of unit
+    vectors chooses candidates, by a margin beyond its rounding; their exact cosine decides."""
+    bound = least - 1.2e-7 * (x.unit.shape[1] + 4)
+    for at in range(0, len(x.unit), STRIP):
+        start = at + 1 if x is y else 0
+        hit = ~(x.unit[at : at + STRIP] @ y.unit[start:].T < bound)
+        if x is y:
+            hit = np.triu(hit)
+        i, j = np.nonzero(hit)
+        i, j = i + at, j + start
+        cosine = x.cosine(i, y, j)
+        keep = ~(cosine < least)  # NaN counts as large, as in SQL
+        if keep.any():
+            yield i[keep], j[keep], cosine[keep]
+
+
 def near_pairs(vectors: DataFrame, group: str, least: float = 0.98) -> DataFrame:
-    """Pairs of one group (id1 < id2) whose cosine is at least `least`. Groups are threads: small by nature."""
-    a, b = (vectors.select(F.col(group), F.col("id").alias(f"id{k}"), F.col("embedding").alias(f"e{k}")) for k in (1, 2))
-    found = a.join(b, group).where("id1 < id2").withColumn("similarity", 1 - cosine_distance(F.col("e1"), F.col("e2")))
-    return found.where(F.col("similarity") >= least).select(group, "id1", "id2", "similarity")
+    """All pairs of one group (id1 < id2) whose cosine is at least `least`: group, id1, id2, similarity. A group of more than `BLOCK`
+    rows is cut into blocks by a hash, and each pair of blocks is one piece of work; small groups share tasks. Every pair is
+    compared, so the work grows with the square of a group. As in SQL, a pair with a vector that has no direction has similarity NaN, which
+    is at least anything. Rows without id, group or vector, and vectors with a null component or none, are in no pair,
+    nor are vectors of different sizes."""
+    kind = {f.name: f.dataType for f in vectors.schema.fields}
+    rows = vectors.select(F.col(group).alias("_group"), F.col("id").alias("_id"), F.col("embedding").alias("_vector"))
+    rows = rows.where("_group IS NOT NULL AND _id IS NOT NULL AND size(_vector) > 0").where(~F.exists("_vector", lambda v: v.isNull()))
+    if kind["embedding"].elementType.typeName() != "float":
+        rows = rows.withColumn("_vector", F.col("_vector").cast("array<double>"))
+    rows = rows.withColumn("_size", F.size("_vector")).withColumn("_hash", F.xxhash64("_group", "_size"))
+    counts = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    pools = 1 + (counts.where(F.col("_n") <= BLOCK).agg(F.sum("_n")).first()[0] or 0) // POOLED
+    large = counts.where(F.col("_n") > BLOCK)  # at most one for BLOCK rows
+    dealt = rows.join(F.broadcast(large), "_hash", "left").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_id", "_vector"), F.col("_blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.col("_hash").alias("p"), F.least("_block", k).alias("i"), F.greatest("_block", k).alias("j")))
+    alone = F.array(F.struct(F.pmod("_hash", F.lit(pools)).alias("p"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    dealt = dealt.withColumn("_work", F.explode(F.when(F.col("_blocks").isNull(), alone).otherwise(meets)))
+    dealt = dealt.select(F.col("_work.p").alias("_p"), F.col("_work.i").alias("_i"), F.col("_work.j").alias("_j"), "_block", "_hash", "_size", "_group", "_id", "_vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        code, size, block = (table[c].to_numpy(zero_copy_only=False) for c in ("_hash", "_size", "_block"))
+        flat = table["_vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        at = np.cumsum(size) - size
+        i, j = table["_i"][0].as_py(), table["_j"][0].as_py()
+        order = np.lexsort((size, code))
+        ends = np.flatnonzero(np.append((np.diff(code[order]) != 0) | (np.diff(size[order]) != 0), True)) + 1
+        with np.errstate(all="ignore"):
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                own = order[start:end]
+                sides = [own] if i == j else [own[block[own] == i], own[block[own] == j]]
+                sides = [(side, Vectors(flat[at[side][:, None] + np.arange(size[own[0]])])) for side in sides]
+                (x_rows, x), (y_rows, y) = sides[0], sides[-1]
+                for a, b, cosine in _pairs_of(x, y, least):
+                    a, b = pa.array(x_rows[a]), pa.array(y_rows[b])
+                    found = [table["_group"].take(a), table["_group"].take(b), table["_id"].take(a), table["_id"].take(b), pa.chunked_array([cosine])]
+                    yield from pa.table(found, ["g1", "g2", "a", "b", "similarity"]).to_batches()
+
+    names = {"g1": kind[group], "g2": kind[group], "a": kind["id"], "b": kind["id"]}
+    schema = ", ".join(f"{k} {t.simpleString()}" for k, t in names.items()) + ", similarity double"
+    found = dealt.groupBy("_p", "_i", "_j").applyInArrow(run, schema).where("g1 = g2 AND a <> b")
+    return found.select(F.col("g1").alias(group), F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "similarity")

@@ -81,3 +81,26 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["id", "score", "method"]
+
+
+def test_near_pairs_of_large_groups_and_odd_vectors(spark, monkeypatch):
+    """Against the SQL's own definition: groups cut into blocks, copies, a zero vector, an infinite one, missing values."""
+    import numpy as np
+
+    from epistle.operators import vectors as V
+
+    monkeypatch.setattr(V, "BLOCK", 40)
+    monkeypatch.setattr(V, "POOLED", 30)
+    rng = np.random.default_rng(9)
+    made = [(k, rng.normal(size=6).round(2).tolist(), "ab"[k % 7 == 0] if k < 300 else f"g{k % 50}") for k in range(500)]
+    made += [(500 + k, made[k][1], made[k][2]) for k in range(30)] + [(600, [0.0] * 6, "a"), (601, [math.inf] + [1.0] * 5, "b"), (602, [3.0, 4.0, 0.0, 0.0, 0.0, 0.0], "z"), (603, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], "z")]
+    odd = [(700, None, "a"), (701, [1.0] * 6, None), (702, [1.0, None, 1.0, 1.0, 1.0, 1.0], "a"), (None, [1.0] * 6, "a"), (703, [1.0] * 5, "a"), (704, [], "a"), (705, [], "a")]
+    schema = "id long, embedding array<float>, name string"
+    got = V.near_pairs(spark.createDataFrame(made + odd, schema), "name", 0.6)
+    assert got.columns == ["name", "id1", "id2", "similarity"]
+    c = duckdb.connect()
+    e = pd.DataFrame(made, columns=["id", "v", "name"])  # noqa: F841
+    cosine = "list_cosine_similarity(CAST(CAST(a.v AS FLOAT[]) AS DOUBLE[]), CAST(CAST(b.v AS FLOAT[]) AS DOUBLE[]))"
+    want = c.execute(f"SELECT a.name, a.id AS id1, b.id AS id2, {cosine} AS similarity FROM e a JOIN e b ON a.name = b.name AND a.id < b.id WHERE {cosine} >= 0.6").df()
+    assert len(want) > 1000 and rows(got.toPandas()) == rows(want)
+    assert V.near_pairs(spark.createDataFrame([], schema), "name").count() == 0
