@@ -137,3 +137,53 @@ def test_other_vocabularies_and_special_tokens():
     from epistle.llm.token_ids import falls_into_units
 
     assert falls_into_units(parts) and not falls_into_units(parts | {"normalizer": {"type": "NFC"}}) and not falls_into_units(json.loads(Path(other).read_text()))
+
+
+def test_merges_are_the_librarys(tokenizer):
+    """Every kind of new unit gets the library's ids, and so many new words cost the library few calls."""
+    rng = random.Random(9)
+    alphabet = [*"aabcdeeéñßüç.,!'\"-²́ \n\t\x01_09ÀЖ中文語ー\U0001f642ʰªⅠ０ำ￾￿\x1c"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["\n", "a\n", "\na", "a\n\nb", "a" * 63 + " " + "a" * 62 + " " + "a" * 64 + "!!", " " + "!" * 70, "\x01 \x01a \n\x01", " a" * 5, "abc" * 100]
+    texts += [f"ab{chr(c)} x{chr(c)}{chr(c)}, \n{chr(c)}d" for c in range(0x21, 0x20000, 31) if not 0xD800 <= c < 0xE000]
+    texts += [" ".join("".join(rng.choice(["th", "eau", "ung", "ción", "ble", "ß", "er"]) for _ in range(rng.randint(1, 9))) + rng.choice(["", ",", ".", "!!"]) for _ in range(4000))]
+    assert [g.tolist() for g in TextEncoder(TOKENIZER).encode(texts)] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    class Counting:
+        given = 0
+
+        def encode_batch_fast(self, units, **options):
+            self.given += len(units)
+            return tokenizer.encode_batch_fast(units, **options)
+
+        def tokenize(self, unit):
+            self.given += 1
+            return tokenizer.model.tokenize(unit)
+
+    enc = TextEncoder(TOKENIZER)
+    enc.encode(["a"])
+    enc.tokenizer = enc.model = library = Counting()
+    assert enc.encode(texts[-1:])[0].tolist() == tokenizer.encode(texts[-1], add_special_tokens=False).ids
+    assert len(set(texts[-1].split())) > 2000 and library.given <= 1
+
+
+def test_merges_by_their_order():
+    """A pair that a later merge replaces, equal pairs side by side, pairs that share a place in the table, more than one height."""
+    from epistle.llm.bpe import Merges
+    from epistle.llm.token_ids import _FORMS
+
+    vocabulary = {c: i for i, c in enumerate(_FORMS.values())}
+    merges = []
+    for a, b in [("a", "a"), ("aa", "aa"), ("b", "c"), ("a", "b"), ("ab", "c"), ("a", "bc"), ("aaaa", "bc")] + [(x, y) for x in "defghij" for y in "defghij"]:
+        vocabulary.setdefault(a + b, len(vocabulary))
+        merges.append((a, b))
+    names, made = {i: t for t, i in vocabulary.items()}, Merges(vocabulary, merges, _FORMS)
+    ranks, rng = {p: r for r, p in enumerate(merges)}, random.Random(2)
+    words = ["a", "aaa", "abc", "aaaabc", "z" * 64] + ["".join(rng.choice("aaabcdefghijz") for _ in range(rng.randint(1, 64))) for _ in range(500)]
+    sizes = np.array([len(w) for w in words])
+    ids, counts = made.encode(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    for word, got in zip(words, np.split(ids, np.cumsum(counts)[:-1])):
+        parts = list(word)
+        while due := min(((ranks[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in ranks), default=None):
+            parts[due[1] : due[1] + 2] = ["".join(parts[due[1] : due[1] + 2])]
+        assert [names[i] for i in got.tolist()] == parts
